@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import conversations, packing, split, tokens
+from leafmill.llm import conversations, history, packing, split, tokens
 from leafmill.llm.common import table
 
 
@@ -33,6 +33,10 @@ def p3_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.conversations(conversations.streamed(spark, f"{sf_dir}/session_messages.parquet"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.repeats(table(spark, sf_dir, "documents"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
@@ -42,4 +46,4 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_conversations, p6_ids, p7_containers)}
+    return {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_conversations, p4_found, p6_ids, p7_containers)}
