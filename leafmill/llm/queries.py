@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import conversations, history, packing, split, tokens
+from leafmill.llm import conversations, history, packing, shared_spans, split, tokens
 from leafmill.llm.common import table
 
 
@@ -45,5 +45,17 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), limits(spark, sf_dir)["container_size"])
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans.sharing_documents(table(spark, sf_dir, "documents"), limits(spark, sf_dir)["shared_span"])
+
+
+def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans.shared_spans(table(spark, sf_dir, "documents"), limits(spark, sf_dir)["shared_span"])
+
+
+def p8_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans.shared_amounts(table(spark, sf_dir, "documents"), limits(spark, sf_dir)["shared_span"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_conversations, p4_found, p6_ids, p7_containers)}
+    return {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_conversations, p4_found, p6_ids, p7_containers, p8_found, p8_spans, p8_amounts)}
