@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leafmill.llm import conversations, history, packing, shared_spans, split, tokens
+from leafmill.llm import conversations, history, packing, residue, shared_spans, split, tokens
 from leafmill.llm.common import table
 
 
@@ -37,6 +38,16 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.repeats(table(spark, sf_dir, "documents"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_rows(table(spark, sf_dir, "page_summaries")).select(F.col("id").alias("summary_id"))
+
+
+def p5_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summaries that remain."""
+    rows = table(spark, sf_dir, "page_summaries")
+    return rows.join(residue.residue_rows(rows), "id", "left_anti").where(r"summary_text rlike '\\S'").select("id", "doc_id", "page_num", "summary_text")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
@@ -58,4 +69,4 @@ def p8_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_conversations, p4_found, p6_ids, p7_containers, p8_found, p8_spans, p8_amounts)}
+    return {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_conversations, p4_found, p5_found, p5_kept, p6_ids, p7_containers, p8_found, p8_spans, p8_amounts)}
