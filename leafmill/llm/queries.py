@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import conversations, history, packing, residue, shared_spans, split, tokens
+from leafmill.llm import conversations, history, packing, residue, scan_noise, shared_spans, split, tokens
 from leafmill.llm.common import table
 
 
@@ -16,6 +16,23 @@ def limits(spark: SparkSession, sf_dir: str) -> dict[str, int]:
     return {r["limit_name"]: r["amount"] for r in table(spark, sf_dir, "size_limits").select("limit_name", "amount").limit(100).collect()}
 
 
+def _noise_tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    return [table(spark, sf_dir, n) for n in ("pages", "page_summaries", "glossary")]
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, summaries, glossary = _noise_tables(spark, sf_dir)
+    return scan_noise.noise(pages, table(spark, sf_dir, "search_results"), summaries, glossary)
+
+
+def p1_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_noise.clean_pages(*_noise_tables(spark, sf_dir))
+
+
+def p1_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_noise.clean_headings(table(spark, sf_dir, "search_results"), *_noise_tables(spark, sf_dir))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = limits(spark, sf_dir)
     return split.oversized_pages(table(spark, sf_dir, "pages"), n["page_chars"], n["piece_overlap"])
@@ -69,4 +86,4 @@ def p8_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_conversations, p4_found, p5_found, p5_kept, p6_ids, p7_containers, p8_found, p8_spans, p8_amounts)}
+    return {f.__name__: f for f in (p1_found, p1_pages, p1_headings, p2_found, p2_pieces, p3_found, p3_conversations, p4_found, p5_found, p5_kept, p6_ids, p7_containers, p8_found, p8_spans, p8_amounts)}
