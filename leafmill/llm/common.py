@@ -50,6 +50,11 @@ def dropped(spark: SparkSession, *tables: DataFrame) -> None:
                 p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def sized(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if it has at most `most` rows; beyond that it is joined by a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def prefix_sums(df: DataFrame, group: list[str], order: list[str], weight: Column, out: str, parts: int | None = None) -> DataFrame:
     """df with `out`: the sum of `weight` over the earlier rows of the same group, in the given order (which must be total).
 

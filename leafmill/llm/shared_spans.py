@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import components, written
+from leafmill.llm.common import components, sized, written
 
 _MULT = 0xD6E8FEB86659FD93
 _INV = pow(_MULT, -1, 1 << 64)
@@ -69,19 +69,24 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def anchors(text: str, span: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, place, first, last, around) of the anchors: windows first..last of `span` characters have theirs at `place`.
+def anchors(text: str, span: int, anchor: int) -> tuple[np.ndarray, ...]:
+    """(hash, place, first, last, around, left, right) of the anchors: windows first..last of `span` characters have theirs at `place`.
 
-    around: hash of the text from first to last + span, the neighbourhood these windows cover."""
+    around: hash of the text from first to last + span, the neighbourhood these windows cover. left and right: hashes of the half of it
+    that a window must reach on one of the two sides (0 where these windows can't)."""
     r = Rolling(text)
     h = r.windows(anchor)
     w = span - anchor + 1
-    least = sliding_min(h, w)
-    place = _leftmost(h, least, w)
+    place = _leftmost(h, sliding_min(h, w), w)
     start = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     end = np.concatenate([start[1:], [len(place)]]) - 1
-    p = place[start]
-    return h[p], p, start, end, r.spans(start, end + span)
+    p, half = place[start], (span - anchor + 1) // 2
+    left, right = np.zeros(len(p), np.uint64), np.zeros(len(p), np.uint64)
+    ok = start <= p - half
+    left[ok] = r.spans(p[ok] - half, p[ok])
+    ok = end + span >= p + anchor + half
+    right[ok] = r.spans(p[ok] + anchor, p[ok] + anchor + half)
+    return h[p], p, start, end, r.spans(start, end + span), left, right
 
 
 def _leftmost(h: np.ndarray, least: np.ndarray, w: int) -> np.ndarray:
@@ -99,38 +104,39 @@ def _leftmost(h: np.ndarray, least: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
-ANCHORS = "doc_id bigint, h bigint, place int, first int, last int, around bigint"
+ANCHORS = "doc_id bigint, h bigint, place int, first int, last int, around bigint, left bigint, right bigint"
 
 
 def anchor_table(documents: DataFrame, span: int, anchor: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], []]
+            cols: list[list] = [[] for _ in range(8)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h, p, a, b, c = anchors(text, span, anchor)
-                for col, v in zip(cols, (np.full(len(h), doc, np.int64), h.view(np.int64), p.astype(np.int32), a.astype(np.int32), b.astype(np.int32), c.view(np.int64))):
+                h, p, a, b, c, x, y = anchors(text, span, anchor)
+                for col, v in zip(cols, (np.full(len(h), doc, np.int64), h.view(np.int64), p.astype(np.int32), a.astype(np.int32), b.astype(np.int32), c.view(np.int64), x.view(np.int64), y.view(np.int64))):
                     col.append(v)
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["doc_id", "h", "place", "first", "last", "around"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["doc_id", "h", "place", "first", "last", "around", "left", "right"])
 
     return documents.where(F.length("text") >= span).select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, ANCHORS)
 
 
 def window_table(documents: DataFrame, places: DataFrame, span: int) -> DataFrame:
-    """(doc_id, key, at) of each window named in places (doc_id, wanted array<struct<first, last>>); key: 128-bit hash of its text."""
+    """(doc_id, k1, k2, at) of each window named in places (doc_id, wanted array<struct<first, last>>); the keys are a 128-bit hash of its
+    text. Places are sent to the documents where they are few, so that no text is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
-                data, keys, ats = text.encode("utf-32-le", "surrogatepass"), [], []
-                for p in wanted:
-                    for i in range(p["first"], p["last"] + 1):
-                        keys.append(xxhash.xxh3_128_digest(data[4 * i : 4 * (i + span)]))
-                        ats.append(i)
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(ats), pa.int64()), pa.array(keys, pa.binary()), pa.array(ats, pa.int32())], ["doc_id", "key", "at"])
+                data, keys = text.encode("utf-32-le", "surrogatepass"), []
+                ats = sorted({i for p in wanted for i in range(p["first"], p["last"] + 1)})
+                for i in ats:
+                    keys.append(xxhash.xxh3_128_digest(data[4 * i : 4 * (i + span)]))
+                both = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(ats), pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(ats, pa.int32())], ["doc_id", "k1", "k2", "at"])
 
-    rows = documents.select(F.col("doc_id").cast("bigint"), "text").join(places, "doc_id").select("doc_id", "text", "wanted")
-    return rows.mapInArrow(run, "doc_id bigint, key binary, at int")
+    rows = documents.select(F.col("doc_id").cast("bigint"), "text").join(sized(places), "doc_id").select("doc_id", "text", "wanted")
+    return rows.mapInArrow(run, "doc_id bigint, k1 bigint, k2 bigint, at int")
 
 
 def matches(documents: DataFrame, span: int, anchor: int | None = None) -> DataFrame:
@@ -139,22 +145,34 @@ def matches(documents: DataFrame, span: int, anchor: int | None = None) -> DataF
     documents: doc_id (unique) and text; null and shorter texts have no windows; other columns are ignored. grp names what is shared,
     the same for all documents that share it. Groups are only aggregated (least and greatest document), never paired, so a passage
     that a third of all documents hold costs as much as any other text."""
-    anchor = anchor or span // 2
+    anchor = anchor or span // 3
+    half = (span - anchor + 1) // 2
     found = written(anchor_table(documents, span, anchor), "anchors")
-    # places that meet in two documents; where all that these windows cover is the same, nothing is left to verify
-    meet = found.groupBy("h").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).where("_lo < _hi").select("h")
-    tagged = written(found.join(meet, "h").select("doc_id", "h", "first", "last", "around"), "met")
-    same = tagged.groupBy("h", "around").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi"))
-    joined = written(tagged.join(same.select("h", "around", (F.col("_lo") < F.col("_hi")).alias("sure")), ["h", "around"]), "sure")
-    sure = joined.where("sure").select("doc_id", "first", "last", F.col("around").alias("grp"))
-    # the rest, and one document of each group they could match, window by window
-    unsure = joined.where("not sure")
-    partners = joined.where("sure").join(unsure.select("h").distinct(), "h", "left_semi").groupBy("h", "around").agg(F.min_by(F.struct("doc_id", "first", "last"), "doc_id").alias("p"), F.max_by(F.struct("doc_id", "first", "last"), "doc_id").alias("q"))
+    two = [F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")]
+    # places that meet in two documents
+    meet = written(found.groupBy("h").agg(*two).where("_lo < _hi").select("h"), "meet")
+    met = written(found.join(sized(meet), "h"), "met")
+    # where all that these windows cover is the same in two documents, nothing is left to verify
+    same = written(met.groupBy("h", "around").agg(*two).where("_lo < _hi").select("h", "around", F.lit(True).alias("sure")), "same")
+    met = met.join(sized(same), ["h", "around"], "left")
+    sure = met.where("sure").select("doc_id", "first", "last", F.col("around").alias("grp"))
+    # elsewhere a shared window reaches the half on the left or on the right of its anchor, which must then be shared as well
+    halves = [written(met.where(f"{side} <> 0").groupBy("h", side).agg(*two).where("_lo < _hi").select("h", side, F.lit(True).alias(f"by_{side}")), side) for side in ("left", "right")]
+    tried = met.join(sized(halves[0]), ["h", "left"], "left").join(sized(halves[1]), ["h", "right"], "left").where("by_left or by_right")
+    lo = F.when(F.col("by_left"), F.col("first")).otherwise(F.greatest("first", F.col("place") - half + 1))
+    hi = F.when(F.col("by_right"), F.col("last")).otherwise(F.least("last", F.col("place") - half + (1 if (span - anchor) % 2 else 0)))
+    tried = tried.select("doc_id", "h", "around", "sure", lo.alias("first"), hi.alias("last")).where("first <= last")
+    unsure = tried.where("sure is null").select("doc_id", "h", "first", "last")
+    unsure = written(unsure, "unsure")
+    # of the groups that they could match two documents each are enough
+    ends = F.struct("doc_id", "first", "last")
+    partners = tried.where("sure").join(sized(written(unsure.select("h").distinct(), "open")), "h", "left_semi").groupBy("h", "around").agg(F.min_by(ends, "doc_id").alias("p"), F.max_by(ends, "doc_id").alias("q"))
     partners = partners.select(F.explode(F.array("p", "q")).alias("x")).select("x.*")
     places = unsure.select("doc_id", "first", "last").union(partners).groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("wanted"))
+    places = written(places, "places")
     windows = written(window_table(documents, places, span), "windows")
-    shared = windows.groupBy("key").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).where("_lo < _hi").select("key")
-    edge = windows.join(shared, "key").select("doc_id", F.col("at").alias("first"), F.col("at").alias("last"), F.xxhash64("key").alias("grp"))
+    shared = written(windows.groupBy("k1", "k2").agg(*two).where("_lo < _hi").select("k1", "k2"), "shared")
+    edge = windows.join(sized(shared), ["k1", "k2"]).select("doc_id", F.col("at").alias("first"), F.col("at").alias("last"), F.col("k1").alias("grp"))
     return written(sure.union(edge), "matches")
 
 
