@@ -17,12 +17,11 @@ def limits(spark: SparkSession, sf_dir: str) -> dict[str, int]:
 
 
 def _noise_tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    return [table(spark, sf_dir, n) for n in ("pages", "page_summaries", "glossary")]
+    return [table(spark, sf_dir, n) for n in ("pages", "search_results", "page_summaries", "glossary")]
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages, summaries, glossary = _noise_tables(spark, sf_dir)
-    return scan_noise.noise(pages, table(spark, sf_dir, "search_results"), summaries, glossary)
+    return scan_noise.noise(*_noise_tables(spark, sf_dir))
 
 
 def p1_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +29,7 @@ def p1_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_noise.clean_headings(table(spark, sf_dir, "search_results"), *_noise_tables(spark, sf_dir))
+    return scan_noise.clean_headings(*_noise_tables(spark, sf_dir))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
