@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leafmill.plans import content, search
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    found = {f.__name__: f for f in [*search.QUERIES, *content.QUERIES]}
+    return found | {"vector_topk": search.vector_query, "hash_embed": search.hash_embed_query}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return search.SQL | content.SQL
