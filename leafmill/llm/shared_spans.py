@@ -139,12 +139,13 @@ def window_table(documents: DataFrame, places: DataFrame, span: int) -> DataFram
     return rows.mapInArrow(run, "doc_id bigint, k1 bigint, k2 bigint, at int")
 
 
-def matches(documents: DataFrame, span: int, anchor: int | None = None) -> DataFrame:
+def matches(documents: DataFrame, span: int, anchor: int | None = None, documents_only: bool = False) -> DataFrame:
     """(doc_id, first, last, grp): the windows first..last of `span` characters of a document that also stand in another document.
 
     documents: doc_id (unique) and text; null and shorter texts have no windows; other columns are ignored. grp names what is shared,
     the same for all documents that share it. Groups are only aggregated (least and greatest document), never paired, so a passage
-    that a third of all documents hold costs as much as any other text."""
+    that a third of all documents hold costs as much as any other text. With documents_only, every document that shares something has a
+    row but not all of its windows: places of documents that are known to share already are verified only where others depend on it."""
     anchor = anchor or span // 3
     half = (span - anchor + 1) // 2
     found = written(anchor_table(documents, span, anchor), "anchors")
@@ -164,6 +165,11 @@ def matches(documents: DataFrame, span: int, anchor: int | None = None) -> DataF
     tried = tried.select("doc_id", "h", "around", "sure", lo.alias("first"), hi.alias("last")).where("first <= last")
     unsure = tried.where("sure is null").select("doc_id", "h", "first", "last")
     unsure = written(unsure, "unsure")
+    if documents_only:
+        known = written(sure.select("doc_id").distinct(), "known")
+        asked = written(unsure.join(sized(known), "doc_id", "left_anti").select("h").distinct(), "asked")
+        tried = tried.join(sized(asked), "h", "left_semi")
+        unsure = written(unsure.join(sized(asked), "h", "left_semi"), "unsure")
     # of the groups that they could match two documents each are enough
     ends = F.struct("doc_id", "first", "last")
     partners = tried.where("sure").join(sized(written(unsure.select("h").distinct(), "open")), "h", "left_semi").groupBy("h", "around").agg(F.min_by(ends, "doc_id").alias("p"), F.max_by(ends, "doc_id").alias("q"))
@@ -178,7 +184,7 @@ def matches(documents: DataFrame, span: int, anchor: int | None = None) -> DataF
 
 def sharing_documents(documents: DataFrame, span: int) -> DataFrame:
     """(doc_id) of the documents with a run of at least `span` characters that also stands in another one."""
-    return matches(documents, span).select("doc_id").distinct()
+    return matches(documents, span, documents_only=True).select("doc_id").distinct()
 
 
 def shared_spans(documents: DataFrame, span: int) -> DataFrame:
