@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import ascii_tokens
 
 MOST_BYTES = 64 << 20
+_ascii = re.compile("[a-z0-9]+").findall
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -84,8 +87,27 @@ def vector_topk(items: DataFrame, questions: DataFrame, k: int, key: str = "vec_
 
 
 def hash_embed(text: Column, dim: int = 64) -> Column:
-    """The default embedding: hashed bag of words, of length one; all zeros for a text without words."""
-    buckets = F.transform(ascii_tokens(text), lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint"), F.lit(dim)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, v: s + v * v))
-    return F.transform(counts, lambda v: F.when(norm > 0, v / norm).otherwise(0.0))
+    """The default embedding: hashed bag of words, of length one; all zeros for a null text or one without words.
+
+    Arrow batches: folding words into buckets as a plan expression costs dim steps a word, a counter one."""
+
+    @F.pandas_udf("array<double>")
+    def embed(texts: pd.Series) -> pd.Series:
+        known: dict[str, int] = {}
+
+        def bucket(t: str) -> int:
+            if t not in known:
+                if len(known) > 500_000:
+                    known.clear()
+                known[t] = int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dim
+            return known[t]
+
+        def one(t: str | None) -> np.ndarray:
+            found = [bucket(w) for w in _ascii(t.lower())] if isinstance(t, str) else []
+            v = np.bincount(found, minlength=dim).astype(np.float64) if found else np.zeros(dim)
+            n = np.sqrt((v * v).sum())
+            return v / n if n else v
+
+        return texts.map(one)
+
+    return embed(text)
