@@ -33,16 +33,21 @@ def _vectors(spark: SparkSession, d: str, parity: int | None = None) -> DataFram
     return e if parity is None else e.where(f"vec_id % 2 = {parity}")
 
 
+def _posts(spark: SparkSession, d: str, tokens=T.ascii_tokens) -> DataFrame:
+    """The corpus' postings, kept: lengths, frequencies and scores all come from them, and the corpus is split into words once."""
+    return lexical.postings(_docs(spark, d), "doc_id", "text", tokens).persist()
+
+
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.bm25(lexical.postings(_docs(spark, d), "doc_id", "text"), _questions(spark, d), 10).withColumnRenamed("key", "doc_id")
+    return lexical.bm25(_posts(spark, d), _questions(spark, d), 10).withColumnRenamed("key", "doc_id")
 
 
 def bm25_unicode_topk(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.bm25(lexical.postings(_docs(spark, d), "doc_id", "text", T.unicode_tokens), _questions(spark, d), 10, T.unicode_tokens).withColumnRenamed("key", "doc_id")
+    return lexical.bm25(_posts(spark, d, T.unicode_tokens), _questions(spark, d), 10, T.unicode_tokens).withColumnRenamed("key", "doc_id")
 
 
 def bm25_corpus_stats(spark: SparkSession, d: str) -> DataFrame:
-    posts = lexical.postings(_docs(spark, d), "doc_id", "text")
+    posts = _posts(spark, d)
     _, size = lexical.corpus_stats(posts)
     return size.select("n", F.round("avgdl", 6).alias("avgdl"), F.round("mean_idf", 6).alias("mean_idf"))
 
@@ -80,7 +85,7 @@ def _lists(spark: SparkSession, d: str) -> DataFrame:
     q, n = _questions(spark, d), TOP_K * 5
     docs = _docs(spark, d).select(F.col("doc_id").alias("key"), "source")
     lists = [vector_topk(_vectors(spark, d, p), q, n).withColumn("list_no", F.lit(p + 1)).withColumn("is_vec", F.lit(True)) for p in (0, 1)]
-    words = lexical.bm25(lexical.postings(_docs(spark, d), "doc_id", "text"), q, n).withColumn("list_no", F.lit(3)).withColumn("is_vec", F.lit(False))
+    words = lexical.bm25(_posts(spark, d), q, n).withColumn("list_no", F.lit(3)).withColumn("is_vec", F.lit(False))
     hits = lists[0].unionByName(lists[1]).unionByName(words)
     return hits.join(docs, "key").select("query_id", "source", F.col("key").alias("doc_id"), "score", "rank", "list_no", "is_vec")
 
