@@ -154,8 +154,9 @@ def _hubs(members: DataFrame, most: int) -> DataFrame:
 def _similar(members: DataFrame, nodes: DataFrame, texts: DataFrame, tested: DataFrame | None, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(edges, tested pairs, rest): each block's hubs are compared with all of its members, then leave it.
 
-    members: (tbl, key, node, ord, old); pairs of two old nodes are left out."""
-    hubs = written(_hubs(members, most), "hubs")
+    members: (tbl, key, node, ord, old, dead); pairs of two old nodes are left out. Dead nodes are no hubs, so that two of them are
+    not compared, but each is with every hub."""
+    hubs = written(_hubs(members.where("not dead"), most), "hubs")
     met = members.join(hubs, ["tbl", "key"])
     old = nodes.select("node", "old", "lanes")
     pairs = met.select("node", F.explode("hubs").alias("hub")).where("hub <> node").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
@@ -169,8 +170,8 @@ def _similar(members: DataFrame, nodes: DataFrame, texts: DataFrame, tested: Dat
 
 
 def _open_blocks(members: DataFrame) -> DataFrame:
-    """The members of blocks that hold two or more nodes, at least one of them new."""
-    many = members.groupBy("tbl", "key").agg(F.count("*").alias("_n"), F.bool_and("old").alias("_old")).where("_n > 1 and not _old")
+    """The members of blocks that hold two or more nodes, at least one of them new and one not dead."""
+    many = members.groupBy("tbl", "key").agg(F.count("*").alias("_n"), F.bool_and("old").alias("_old"), F.bool_and("dead").alias("_dead")).where("_n > 1 and not _old and not _dead")
     return members.join(many.select("tbl", "key"), ["tbl", "key"])
 
 
@@ -266,19 +267,20 @@ def check_batches(documents: DataFrame, history: History | None = None) -> tuple
     members = docs.where("blocks is not null and not old").select(F.posexplode("blocks").alias("tbl", "key"), "node", "ord", "old")
     if history:
         members = members.unionByName(old_blocks.join(nodes.select("node", "ord", "old"), "node").select("tbl", "key", "node", "ord", "old"))
-    members = written(_open_blocks(members), "blocks")
+    members = written(_open_blocks(members.withColumn("dead", F.lit(False))), "blocks")
     most, size = HUBS, docs.count()
     edges, tested, rest = _similar(members, nodes, texts, None, most)
     states = docs.select("doc_id", "ord", "hkey", "node", "state")
     while True:
         rest = written(_open_blocks(rest), "rest")
         most *= 4
-        pairs = rest.groupBy("tbl", "key").count().agg(F.sum(F.col("count") * F.least("count", F.lit(most)))).first()[0]
+        pairs = rest.groupBy("tbl", "key").agg(F.count("*").alias("n"), F.count_if(~F.col("dead")).alias("live")).agg(F.sum(F.col("n") * F.least("live", F.lit(most)))).first()[0]
         if not pairs:
             break
-        if pairs > 8 * size:  # blocks of near copies: what is rejected already need not be compared any more
-            known = resolve(states, edges, rest)
-            rest = rest.join(known.where("state <> 'R'").select("node").distinct(), "node", "left_semi")
+        if pairs > 8 * size:  # blocks of near copies: two nodes that are rejected already need not be compared with each other
+            live = resolve(states, edges, rest).where("state <> 'R'").select("node").distinct().withColumn("_live", F.lit(True))
+            rest = rest.join(live, "node", "left").withColumn("dead", F.col("_live").isNull()).drop("_live")
+            rest = written(_open_blocks(rest), "marked")
         found, close, rest = _similar(rest, nodes, texts, tested, most)
         edges, tested = edges.union(found), tested.union(close)
     edges = written(edges, "edges")

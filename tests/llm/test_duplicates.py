@@ -60,6 +60,24 @@ def test_hot_copies_and_near_copies(spark):
     assert {tuple(r) for r in history.repeats(frame(spark, rows)).collect()} == brute(rows)
 
 
+def test_large_blocks_keep_pairs_with_all_accepted_documents(spark):
+    rnd = random.Random(4)
+    first = [f"a{i}" for i in range(150)]
+    other = [*first[:107], *(f"b{i}" for i in range(43))]
+    between = [*first[:128], *other[128:]]
+
+    def changed(i):
+        at = rnd.randrange(150)
+        return " ".join([*between[:at], f"new{i}", *between[at + 1 :]])
+
+    # `other` is accepted, and no hub of its blocks; the documents after it repeat both it and `first`
+    rows = [(0, 1, None, " ".join(first), "f"), *((1 + i, 2, None, changed(i), "f") for i in range(20))]
+    rows += [(50, 3, None, " ".join(other), "f"), *((100 + i, 4, None, changed(100 + i), "f") for i in range(40))]
+    want = brute(rows)
+    assert len(want) == 20 + 2 * 40
+    assert {tuple(r) for r in history.repeats(frame(spark, rows)).collect()} == want
+
+
 def test_batches_against_a_store(spark, tmp_path):
     rows = corpus(5, 45)
     store = history.History(spark, str(tmp_path / "store"))
