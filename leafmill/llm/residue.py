@@ -1,15 +1,15 @@
 """Template residue, filler, error pages and script notices in place of real content.
 
 Rules name texts that are residue beyond doubt (trusted labels). Variants that no rule knows are found as near-duplicates of these:
-SimHash fingerprints in partitioned tables, checked by Hamming distance and by the overlap of five-word sequences, from label to label
-until the connected components of the trusted texts are exhausted. Unfilled placeholders are judged by the rules alone, as the text
-around them is often real."""
+texts that overlap by OVERLAP share one of the first hashes of their five-word sequences, which a join finds without loss and the overlap
+itself checks, from label to label until the connected components of the trusted texts are exhausted. Unfilled placeholders are judged
+by the rules alone, as the text around them is often real."""
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +19,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.common import dropped, written
 
-BITS, BLOCKS, EQUAL_BLOCKS = 64, 6, 3
-MOST_BITS, SHINGLE, OVERLAP = 12, 5, 0.8
+SHINGLE, OVERLAP = 5, 0.8
 
 #: What an unfilled field looks like in common template languages and forms (fixed patterns).
 PLACEHOLDER = re.compile(
@@ -102,23 +101,9 @@ def shingle_hashes(m: str) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh3_64_intdigest(" ".join(words[i : i + SHINGLE])) for i in range(n)], np.uint64))
 
 
-_shifts = np.arange(BITS, dtype=np.uint64)
-
-
-def simhash(s: np.ndarray) -> int:
-    """A bit is set if it is in most of the hashes."""
-    ones = ((s[:, None] >> _shifts) & np.uint64(1)).sum(axis=0)
-    return int((np.uint64(1) << _shifts)[2 * ones > len(s)].sum(dtype=np.uint64))
-
-
-_cuts = [round(i * BITS / BLOCKS) for i in range(BLOCKS + 1)]
-_tables = list(combinations(range(BLOCKS), EQUAL_BLOCKS))
-
-
-def table_keys(h: int) -> list[int]:
-    """One key a table: the bits of its blocks, marked with the table."""
-    blocks = [(h >> a) & ((1 << (b - a)) - 1) for a, b in zip(_cuts, _cuts[1:])]
-    return [xxhash.xxh3_64_intdigest(repr((t, [blocks[i] for i in t]))) - (1 << 63) for t in _tables]
+def first_hashes(s: np.ndarray) -> np.ndarray:
+    """The least hashes of a sorted set, so many that any set that overlaps with it by OVERLAP has one of them among its own."""
+    return s[: len(s) - math.ceil(OVERLAP * len(s) - 1e-9) + 1].view(np.int64)
 
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,10 +121,9 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingle_hashes(m) for m in batch.column(2).to_pylist()]
-        prints = [simhash(s) for s in sets]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array([p - (1 << 63) for p in prints], pa.int64()), pa.array([table_keys(p) for p in prints], pa.list_(pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary())],
-            ["node", "trusted", "print", "keys", "s"],
+            [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.array([first_hashes(s) for s in sets], pa.list_(pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary())],
+            ["node", "trusted", "size", "keys", "s"],
         )
 
 
@@ -158,23 +142,22 @@ def residue_rows(rows: DataFrame, id_col: str = "id", text_col: str = "summary_t
 
     Null and blank texts are none; every other row is judged by its own text, repeated rows alike; other columns are ignored. Texts that
     differ in digits, case and spaces only are one node, so copies are never compared. Labels spread from the trusted nodes: each round
-    compares the newly labelled nodes with the unlabelled ones of their blocks (in which a text of 64 bits that differs in at most three
-    is always met, one that differs in more with a falling chance), until no node is added. Comparisons per block are those of new labels
-    with unlabelled nodes, each made once; real texts are never compared with each other."""
+    compares the newly labelled nodes with the unlabelled ones that share one of their first hashes and are of a like size, until no node
+    is added; no pair that overlaps by OVERLAP is missed. Comparisons are those of new labels with unlabelled nodes, each made once; real texts are never compared with each other."""
     spark = rows.sparkSession
     kind = dict(rows.dtypes)[id_col]
     texts = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(r"t rlike '\\S'")
     judged = written(texts.mapInArrow(_judged, f"id {kind}, open boolean, trusted boolean, node bigint, m string"), "judged")
     nodes = judged.where("not open").groupBy("node").agg(F.bool_or("trusted").alias("trusted"), F.first("m").alias("m"))
-    nodes = written(nodes.select("node", "trusted", "m").mapInArrow(_printed, "node bigint, trusted boolean, print bigint, keys array<bigint>, s binary"), "prints")
+    nodes = written(nodes.select("node", "trusted", "m").mapInArrow(_printed, "node bigint, trusted boolean, size int, keys array<bigint>, s binary"), "prints")
     new = nodes.where("trusted").select("node")
     labelled = written(new, "labelled")
     new = labelled
-    keyed = nodes.select("node", "print", F.explode("keys").alias("key"))
+    keyed = nodes.select("node", "size", F.explode("keys").alias("key"))
     while True:
-        seeds = keyed.join(new, "node", "left_semi").select("key", F.col("node").alias("seed"), F.col("print").alias("p"))
+        seeds = keyed.join(new, "node", "left_semi").select("key", F.col("node").alias("seed"), F.col("size").alias("n"))
         others = keyed.join(labelled, "node", "left_anti")
-        pairs = others.join(seeds, "key").where(F.bit_count(F.col("print").bitwiseXOR(F.col("p"))) <= MOST_BITS).select("node", "seed").distinct()
+        pairs = others.join(seeds, "key").where(F.least("size", "n") >= OVERLAP * F.greatest("size", "n") - 1e-9).select("node", "seed").distinct()
         close = pairs.join(nodes.select("node", F.col("s").alias("x")), "node").join(nodes.select(F.col("node").alias("seed"), F.col("s").alias("y")), "seed").select("node", "x", "y")
         new = written(close.mapInArrow(_compared, "node bigint").distinct(), "new")
         if new.isEmpty():

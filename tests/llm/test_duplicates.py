@@ -143,3 +143,19 @@ def test_labels_spread_over_near_duplicates(spark):
     rows = [(1, filler), (2, filler + "contact desk"), (3, "A quarterly report on the credit desk and on what its owners agreed in the spring."), (4, filler.upper())]
     got = {r["id"] for r in residue.residue_rows(spark.createDataFrame(rows, "id long, summary_text string")).collect()}
     assert {1, 4} <= got and 3 not in got
+
+
+def test_labels_reach_every_text_that_overlaps_enough(spark):
+    rnd = random.Random(6)
+    filler, letters = sorted(residue.FILLER_WORDS), "bcdfghjklmnp"
+    rows, want = [], set()
+    for i in range(60):
+        known = [rnd.choice(filler) for _ in range(60)]
+        added = ["".join(rnd.choice(letters) for _ in range(8)) for _ in range(rnd.choice([8, 11, 14, 16, 30]))]
+        variant = " ".join(known + added)
+        assert not residue.trusted_residue(variant)
+        x, y = ({tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (known, known + added))
+        rows += [(i, " ".join(known)), (100 + i, variant)]
+        want |= {i} | ({100 + i} if len(x & y) >= 0.8 * len(x | y) else set())
+    got = {r["id"] for r in residue.residue_rows(spark.createDataFrame(rows, "id long, summary_text string")).collect()}
+    assert got == want and 80 < len(want) < 120
