@@ -301,10 +301,14 @@ class Reader:
             return True
         return not (self.is_word(a) and self.is_word(b))
 
+    def pair(self, p: str, o: str, as_read: bool) -> float:
+        """The weight of a word pair, its count smoothed by one; where both are as read, the pair at hand is no evidence for itself."""
+        return math.log1p(max(self.pairs.get(f"{p} {o}", 0) - as_read, 0))
+
     def viterbi(self, words: list[str]) -> list[str]:
         """The likeliest words for those read in a line."""
         paths: dict[str, tuple[float, list[str]]] = {}
-        for w in words:
+        for last, w in zip(["", *words], words):
             best = self.best(w)
             options = {w: math.log(self.count(w) + 0.1) + (math.log(0.98) if best is None else 0)}
             if best is not None:
@@ -312,7 +316,7 @@ class Reader:
                 options[best] = math.log(self.count(best) + 0.1) - (math.log(ODDS) * min(changes, 1) if w.isalpha() else 0)
             now = {}
             for o, score in options.items():
-                before = max(((s + (math.log1p(self.pairs.get(f"{p} {o}", 0)) if len(options) > 1 or len(paths) > 1 else 0), path) for p, (s, path) in paths.items()), key=lambda x: x[0], default=(0.0, []))
+                before = max(((s + (self.pair(p, o, p == last and o == w) if len(options) > 1 or len(paths) > 1 else 0), path) for p, (s, path) in paths.items()), key=lambda x: x[0], default=(0.0, []))
                 now[o] = (before[0] + score, [*before[1], o])
             if len(now) == 1:  # nothing earlier can change any more
                 ((o, (s, path)),) = now.items()
@@ -412,8 +416,10 @@ class Corpus:
         lexicon = self.words.join(best, "key", "left").where(f"best is not null or n >= {LEAST_COUNT}")
         self.lexicon = written(lexicon, "lexicon")
         unsure = best.select(F.col("key").alias("word")).union(best.select(F.col("best").alias("word"))).distinct()
-        pairs = facts.where("kind = 'b'").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").withColumn("word", F.substring_index("key", " ", -1))
-        self.pairs = written(pairs.join(unsure, "word", "left_semi").select("key", "n"), "pairs")
+        # a doubtful word is decided by what stands on either side of it
+        pairs = facts.where("kind = 'b'").groupBy("key").agg(F.sum("n").alias("n"))
+        pairs = pairs.select("key", "n", F.explode(F.array_distinct(F.split("key", " "))).alias("word"))
+        self.pairs = written(pairs.join(unsure, "word", "left_semi").select("key", "n").distinct(), "pairs")
         # a running line stands at the edge of two pages of its file at least, and is no heading of the glossary
         headings = glossary.select("term").where("term is not null")
         keyed = headings.mapInArrow(_term_keys, "key string").distinct()

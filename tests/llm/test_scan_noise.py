@@ -72,3 +72,14 @@ def test_undoubted_lines_are_left_as_decoding_would(spark):
     for _ in range(300):
         line = " ".join(rnd.choice([*words, "c0ntrol", "tota1", "rec ord", "12", "2O1", "zzz", "(tester)"]) for _ in range(rnd.randrange(0, 8)))
         assert S.repair(line, fast) == S.repair(line, slow)
+
+
+def test_pairs_on_both_sides_decide(spark):
+    rare = [(i, f"r{i}", 1, f"Fester wounds heal slowly {x}.", 0) for i, x in ((1, "north"), (2, "south"), (3, "inland"))]
+    p, r, s, g = tables(spark, [*rare, (4, "r4", 1, "The fester control tester reviews.", 0)])
+    c = S.Corpus(p, r, s, g)
+    assert {x["key"]: x["best"] for x in c.lexicon.collect()}["fester"] == "tester"
+    pairs = {x["key"]: x["n"] for x in c.pairs.collect()}
+    assert pairs["fester wounds"] == 3 and pairs["fester control"] == pairs["the fester"] == 1
+    reader = S.Reader({x["key"]: (x["n"], x["best"]) for x in c.lexicon.collect()}, pairs)
+    assert reader.viterbi(["fester", "wounds"]) == ["fester", "wounds"] and reader.viterbi(["fester", "control"]) == ["tester", "control"]
