@@ -5,29 +5,40 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), a temporary one is set."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a local master gets a temporary folder; a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="leafmill-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all workers share")
+    return _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="leafmill-"))
+
+
+def filesystem(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
+    """(file system, path object) of Hadoop for a path."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the application ends."""
     path = f"{shared_dir(spark)}/leafmill/{uuid.uuid4().hex}-{name}"
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    fs, p = filesystem(spark, path)
+    fs.deleteOnExit(p)
     return path
 
 
@@ -46,13 +57,35 @@ def dropped(spark: SparkSession, *tables: DataFrame) -> None:
     for df in tables:
         for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
             if "/leafmill/" in f:
-                p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
-                p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+                fs, p = filesystem(spark, f)
+                fs.delete(p, True)
+
+
+MOST_BYTES = 32 << 20
+
+
+def row_bytes(schema: StructType) -> Column:
+    """About how many bytes a row takes in memory; strings and arrays by their length."""
+
+    def size(c: Column, kind: DataType) -> Column:
+        if isinstance(kind, (StringType, BinaryType)):
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        if isinstance(kind, ArrayType):
+            each = 8 * len(kind.elementType.fields) if isinstance(kind.elementType, StructType) else 8
+            return F.greatest(F.size(c), F.lit(0)) * each + 16
+        if isinstance(kind, StructType):
+            return sum((size(c[f.name], f.dataType) for f in kind), F.lit(16))
+        return F.lit(8)
+
+    return sum((size(F.col(f"`{f.name}`"), f.dataType) for f in schema), F.lit(24)).cast("bigint")
+
 
+def sized(df: DataFrame, most: int | None = None) -> DataFrame:
+    """A written table, marked for broadcast if its rows take at most `most` bytes; beyond that it is joined by a shuffle.
 
-def sized(df: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """A written table of narrow rows, marked for broadcast if it has at most `most` rows; beyond that it is joined by a shuffle."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    Only the plan depends on it: both joins give the same rows."""
+    size = df.agg(F.sum(row_bytes(df.schema))).first()[0] or 0
+    return F.broadcast(df) if size <= (MOST_BYTES if most is None else most) else df.hint("merge")
 
 
 def prefix_sums(df: DataFrame, group: list[str], order: list[str], weight: Column, out: str, parts: int | None = None) -> DataFrame:

@@ -5,11 +5,14 @@ lanes estimates the distance of two texts. The full MinHashes are cut into rotat
 whole block are candidates, checked by the Hamming distance of their fingerprints and then by their word sequences themselves. With
 32 tables of 4 lanes, texts that overlap by 0.7 meet in some table with a probability of 0.9998, by 0.65 of 0.998.
 
-What is decided about a document depends only on earlier ones, so a store of the accepted documents' fingerprints and blocks is all that
-a later batch needs."""
+A batch is checked against a store of what was accepted before it: its block keys are looked up in the stored block table, the
+fingerprints and texts of just the documents found are read, and what the batch adds is appended in one commit. The stored tables are
+never fingerprinted, shuffled or rewritten again."""
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -19,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import written
+from leafmill.llm.common import filesystem, new_path, sized, written
 
 LANES, TABLES = 128, 32
 WIDTH = LANES // TABLES
@@ -28,12 +31,17 @@ SHINGLE, LEAST_WORDS, OVERLAP = 3, 50, 0.6
 LEAST_LANES = 48
 #: Members of a block that all others are compared with in the first round; four times as many in each further one.
 HUBS = 16
+#: Kinds of stored keys: file hash, hash of all words, block of lanes.
+HASH, WORDS, BLOCK = 0, 1, 2
+#: Folders that stored fingerprints and texts are spread over; a lookup reads only those of the documents it found.
+SLOTS = 32
 _words = re.compile(r"[^\W_]+").findall
 _rng = np.random.Generator(np.random.PCG64(20_240_229))
 _A = _rng.integers(1, 1 << 63, LANES, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 1 << 63, LANES, dtype=np.uint64)
 _M = [np.uint64(x | 1) for x in _rng.integers(1, 1 << 63, 8, dtype=np.uint64).tolist()]
 COLUMNS = ["doc_id", "batch_no", "hash", "text"]
+PRINTS = "doc_id bigint, batch_no int, hkey string, ckey string, lanes binary, blocks array<bigint>"
 
 
 class _WordHash(dict):
@@ -50,17 +58,17 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingles(text: str | None, seen: _WordHash, size: int = SHINGLE, least: int = LEAST_WORDS) -> tuple[np.ndarray | None, int]:
-    """(sorted distinct hashes of the word sequences, hash of all words); (None, 0) if there are fewer words than `least`."""
+def shingles(text: str | None, seen: _WordHash, size: int = SHINGLE, least: int = LEAST_WORDS) -> tuple[np.ndarray | None, str]:
+    """(sorted distinct hashes of the word sequences, 128-bit hash of all words); (None, "") if there are fewer words than `least`."""
     words = _words(text.lower()) if text else []
     if len(words) < max(least, size):
-        return None, 0
+        return None, ""
     w = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
     n = len(w) - size + 1
     s = np.zeros(n, np.uint64)
     for i in range(size):
         s = _mixed(s + w[i : i + n] * _M[i])
-    return np.unique(s), xxhash.xxh3_64_intdigest(w.tobytes())
+    return np.unique(s), xxhash.xxh3_128_hexdigest(w.tobytes())
 
 
 def min_hashes(s: np.ndarray) -> np.ndarray:
@@ -88,7 +96,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
                     ckeys.append(None), lanes.append(None), blocks.append(None)
                     continue
                 low = min_hashes(s)
-                ckeys.append(key - (1 << 63))
+                ckeys.append(key)
                 lanes.append(low.astype(np.uint8).tobytes())
                 rows = low.reshape(TABLES, WIDTH)
                 key = np.arange(TABLES, dtype=np.uint64)
@@ -96,12 +104,12 @@ def fingerprints(documents: DataFrame) -> DataFrame:
                     key = _mixed(key + rows[:, i] * _M[i])
                 blocks.append(key.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(ckeys, pa.int64()), pa.array(lanes, pa.binary()), pa.array(blocks, pa.list_(pa.int64()))],
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(ckeys, pa.string()), pa.array(lanes, pa.binary()), pa.array(blocks, pa.list_(pa.int64()))],
                 ["doc_id", "batch_no", "hkey", "ckey", "lanes", "blocks"],
             )
 
     narrow = documents.select(F.col("doc_id").cast("bigint"), F.col("batch_no").cast("int"), plain_hash(F.col("hash")).alias("hkey"), "text")
-    return narrow.mapInArrow(run, "doc_id bigint, batch_no int, hkey string, ckey bigint, lanes binary, blocks array<bigint>")
+    return narrow.mapInArrow(run, PRINTS)
 
 
 def near_prints(pairs: DataFrame) -> DataFrame:
@@ -115,9 +123,9 @@ def near_prints(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "la", "lb").mapInArrow(run, "a bigint, b bigint")
 
 
-def overlapping(pairs: DataFrame, texts: DataFrame, a: str, b: str) -> DataFrame:
-    """The (a, b) whose texts' word sequences overlap by OVERLAP; texts: (node, text). Each text is read and hashed once."""
-    nodes = pairs.select(F.col(a).alias("node")).union(pairs.select(F.col(b).alias("node"))).distinct()
+def overlapping(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The (a, b) whose texts' word sequences overlap by OVERLAP; texts: (node, text). Each text is hashed once."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _WordHash()
@@ -136,43 +144,32 @@ def overlapping(pairs: DataFrame, texts: DataFrame, a: str, b: str) -> DataFrame
                 keep.append(both > 0 and both >= OVERLAP * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    p = pairs.select(F.col(a).alias("a"), F.col(b).alias("b"))
-    p = p.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    p = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     return p.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
 
 
 def _hubs(members: DataFrame, most: int) -> DataFrame:
-    """(tbl, key, hubs): the `most` earliest nodes of each block."""
+    """(key, hubs): the `most` earliest nodes of each block."""
     # a salted first pass keeps a block that holds a third of all nodes from being sorted in one task
-    by = ["tbl", "key"]
-    w = Window.partitionBy(*by, "_salt").orderBy("ord", "node")
+    w = Window.partitionBy("key", "_salt").orderBy("ord", "node")
     few = members.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(64))).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most)
-    hubs = few.groupBy(*by).agg(F.slice(F.sort_array(F.collect_list(F.struct("ord", "node"))), 1, most).alias("hubs"))
-    return hubs.select(*by, F.col("hubs.node").alias("hubs"))
+    hubs = few.groupBy("key").agg(F.slice(F.sort_array(F.collect_list(F.struct("ord", "node"))), 1, most).alias("hubs"))
+    return hubs.select("key", F.col("hubs.node").alias("hubs"))
 
 
-def _similar(members: DataFrame, nodes: DataFrame, texts: DataFrame, tested: DataFrame | None, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(edges, tested pairs, rest): each block's hubs are compared with all of its members, then leave it.
+def _meetings(blocks: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, rest): each block's hubs with all of its members, once a pair, and the members left, among which the rest must meet.
 
-    members: (tbl, key, node, ord, old, dead); pairs of two old nodes are left out. Dead nodes are no hubs, so that two of them are
-    not compared, but each is with every hub."""
-    hubs = written(_hubs(members.where("not dead"), most), "hubs")
-    met = members.join(hubs, ["tbl", "key"])
-    old = nodes.select("node", "old", "lanes")
+    blocks: (key, node, ord, dead). Dead nodes are no hubs, so that two of them do not meet, but each meets every hub."""
+    met = blocks.join(_hubs(blocks.where("not dead"), most), "key")
     pairs = met.select("node", F.explode("hubs").alias("hub")).where("hub <> node").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    if tested is not None:
-        pairs = pairs.join(tested, ["a", "b"], "left_anti")
-    close = near_prints(pairs.join(old.toDF("a", "oa", "la"), "a").join(old.toDF("b", "ob", "lb"), "b").where(~(F.col("oa") & F.col("ob"))))
-    close = written(close, "close")
-    edges = written(overlapping(close, texts, "a", "b"), "edges")
-    rest = met.where(~F.array_contains("hubs", F.col("node"))).drop("hubs")
-    return edges, close, rest
+    return pairs, met.where(~F.array_contains("hubs", F.col("node"))).drop("hubs")
 
 
 def _open_blocks(members: DataFrame) -> DataFrame:
-    """The members of blocks that hold two or more nodes, at least one of them new and one not dead."""
-    many = members.groupBy("tbl", "key").agg(F.count("*").alias("_n"), F.bool_and("old").alias("_old"), F.bool_and("dead").alias("_dead")).where("_n > 1 and not _old and not _dead")
-    return members.join(many.select("tbl", "key"), ["tbl", "key"])
+    """The members of blocks that hold two or more nodes, at least one of them not dead; _n: how many."""
+    many = members.groupBy("key").agg(F.count("*").alias("_n"), F.bool_and("dead").alias("_dead")).where("_n > 1 and not _dead")
+    return members.join(many.select("key", "_n"), "key")
 
 
 def resolve(docs: DataFrame, edges: DataFrame, blocked: DataFrame | None) -> DataFrame:
@@ -191,7 +188,7 @@ def resolve(docs: DataFrame, edges: DataFrame, blocked: DataFrame | None) -> Dat
     columns = ["doc_id", "ord", "hkey", "node", "state", "held"]
     marks = written(marks.select(*columns, (F.col("_h").isNotNull() | F.col("_g").isNotNull()).alias("busy")), "marks")
     # most documents have no neighbour at all and take no part in the rounds
-    alone = marks.where("not busy").withColumn("state", F.when(F.col("held"), F.col("state")).otherwise("A"))
+    alone = marks.where("not busy").withColumn("state", F.when(F.col("held") | (F.col("state") != "U"), F.col("state")).otherwise("A"))
     docs, first = marks.where("busy").select(*columns), lambda state: F.min(F.when(F.col("state") == state, F.col("ord"))) if state else F.min("ord")
     was = None
     while True:
@@ -211,79 +208,126 @@ def resolve(docs: DataFrame, edges: DataFrame, blocked: DataFrame | None) -> Dat
 
 
 class History:
-    """Accepted documents in a folder: their keys and fingerprints, their blocks by table, and their texts, appended batch by batch."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def _read(self, part: str, schema: str) -> DataFrame:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}")
-        there = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{part}") if there else self.spark.createDataFrame([], schema)
-
-    def keys(self) -> DataFrame:
-        return self._read("keys", "doc_id bigint, batch_no int, hkey string, ckey bigint, lanes binary")
-
-    def blocks(self) -> DataFrame:
-        return self._read("blocks", "tbl int, key bigint, node bigint")
-
-    def texts(self) -> DataFrame:
-        return self._read("texts", "node bigint, text string")
+    """Accepted documents in a folder, appended part by part.
+
+    keys: (key, kind, exact, node, part), bucketed by key, so that a lookup shuffles what it asks for and not what is stored.
+    documents: (doc_id, lanes, text, part) in SLOTS folders by doc_id; a lookup reads only the folders of the documents it found.
+    A part counts once its commit mark is there: rows of a failed append are never read, and the next append takes another number."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        """Opens the store, or makes an empty one of `buckets` buckets (the session's shuffle partitions by default)."""
+        self.spark, self.path = spark, path.rstrip("/")
+        layout = self._names("layout")
+        self.buckets = int(layout[0]) if layout else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if not layout:
+            self._mark("layout", str(self.buckets))
+        self.table = "leafmill_" + hashlib.md5(self.path.encode()).hexdigest()
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {self.table} (key bigint, kind tinyint, exact string, node bigint, part int) USING parquet "
+            f"OPTIONS (compression 'zstd') CLUSTERED BY (key) INTO {self.buckets} BUCKETS LOCATION '{self.path}/keys'"
+        )
+
+    def _names(self, kind: str) -> list[str]:
+        fs, p = filesystem(self.spark, f"{self.path}/{kind}")
+        return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+
+    def _mark(self, kind: str, name: str) -> None:
+        fs, p = filesystem(self.spark, f"{self.path}/{kind}/{name}")
+        fs.create(p, False).close()
+
+    def parts(self) -> list[int]:
+        return [int(x) for x in self._names("commits")]
+
+    def _committed(self, rows: DataFrame) -> DataFrame:
+        parts = self.parts()
+        failed = sorted({int(x) for x in self._names("begun")} - set(parts))
+        return rows.where((F.col("part") <= max(parts, default=-1)) & ~F.col("part").isin(failed))
+
+    def find(self, asked: DataFrame) -> DataFrame:
+        """(key, kind, exact, old): the stored documents with one of the keys asked for (key, kind, exact; distinct)."""
+        held = self._committed(self.spark.table(self.table)).select("key", "kind", F.col("exact").alias("_e"), F.col("node").alias("old"))
+        return asked.join(held, ["key", "kind"]).where(F.col("exact").eqNullSafe(F.col("_e"))).select("key", "kind", "exact", "old")
+
+    def joined(self, ids: DataFrame, by: str, column: str) -> DataFrame:
+        """ids, a written table, with `column` (lanes or text) of the stored documents that its column `by` names."""
+        slots = [r[0] for r in ids.select(F.pmod(F.xxhash64(by), F.lit(SLOTS)).alias("s")).distinct().collect()]  # at most SLOTS rows
+        if not slots:
+            return ids.withColumn(column, F.lit(None).cast("binary" if column == "lanes" else "string"))
+        held = self.spark.read.schema("doc_id bigint, lanes binary, text string, part int, slot int").parquet(f"{self.path}/documents")
+        held = self._committed(held).where(F.col("slot").isin(slots)).select(F.col("doc_id").alias(by), column)
+        return held.join(sized(ids), by).select(*ids.columns, column)
 
     def append(self, prints: DataFrame, texts: DataFrame) -> None:
-        """Adds accepted documents: fingerprints() rows, and (node, text)."""
-        prints.select("doc_id", "batch_no", "hkey", "ckey", "lanes").write.mode("append").parquet(f"{self.path}/keys")
-        blocks = prints.where("blocks is not null").select(F.posexplode("blocks").alias("tbl", "key"), F.col("doc_id").alias("node"))
-        blocks.repartition("tbl").sortWithinPartitions("tbl", "key").write.mode("append").parquet(f"{self.path}/blocks")
-        texts.write.mode("append").parquet(f"{self.path}/texts")
-
-
-def check_batches(documents: DataFrame, history: History | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Adds accepted documents as one part: fingerprints() rows, and (node, text)."""
+        part = max([int(x) for x in self._names("begun")], default=-1) + 1
+        self._mark("begun", f"{part:09d}")
+        keys = stored_keys(prints, "doc_id").withColumn("part", F.lit(part))
+        keys.repartition(self.buckets, "key").write.insertInto(self.table)
+        rows = prints.select("doc_id", "lanes").join(texts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        rows = rows.withColumn("part", F.lit(part)).withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)))
+        # several files a folder where a part is large
+        rows.repartition("slot", F.pmod(F.col("doc_id"), F.lit(max(1, self.buckets // SLOTS)))).write.mode("append").option("compression", "zstd").partitionBy("slot").parquet(f"{self.path}/documents")
+        self._mark("commits", f"{part:09d}")
+
+    def close(self) -> None:
+        """Takes the key table's name out of the session's catalogue; the folder stays."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+
+def stored_keys(prints: DataFrame, node: str) -> DataFrame:
+    """(key, kind, exact, node) of fingerprints() rows; exact is the full hash behind a key, null for blocks, which are hashes of lanes."""
+    entry = lambda kind, key, exact: F.struct(key.alias("key"), F.lit(kind).cast("tinyint").alias("kind"), exact.cast("string").alias("exact"))
+    exact = [F.when(F.col(c).isNotNull(), entry(k, F.xxhash64(c), F.col(c))) for k, c in ((HASH, "hkey"), (WORDS, "ckey"))]
+    blocks = F.coalesce(F.transform("blocks", lambda b: entry(BLOCK, b, F.lit(None))), F.array().cast("array<struct<key:bigint,kind:tinyint,exact:string>>"))
+    return prints.select(F.explode(F.concat(F.array_compact(F.array(*exact)), blocks)).alias("k"), F.col(node).alias("node")).select("k.*", "node")
+
+
+def check_batch(documents: DataFrame, history: History) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pairs, states, fingerprints) of new documents, checked against the history and each other in order (batch_no, doc_id).
 
     pairs: (doc_id, accepted_id) of each rejected document and every accepted one it repeats. states: (doc_id, state), A or R.
-    Documents need doc_id (unique), batch_no, hash, text; other columns are ignored. Null and empty hashes equal nothing; texts that
-    are null or have under 50 words only compare by hash; null batch numbers come first. An empty frame gives empty frames.
+    Documents need doc_id (unique, and not in the history), batch_no, hash, text; other columns are ignored. Null and empty hashes equal
+    nothing; texts that are null or have under 50 words only compare by hash; null batch numbers come first. An empty frame gives empty
+    frames.
 
     Documents with the same words are one node, so copies are never compared with each other; a hash or node that a third of all
-    documents have is only aggregated. The history takes part by key: its blocks are joined, not rebuilt."""
-    spark = documents.sparkSession
+    documents have is only aggregated, and asked for once."""
     prints = written(fingerprints(documents.select(*COLUMNS)), "prints")
     texts = documents.select(F.col("doc_id").cast("bigint").alias("node"), "text")
-    docs = prints.select("doc_id", F.struct(F.lit(1).alias("age"), "batch_no", "doc_id").alias("ord"), "hkey", "ckey", F.lit(False).alias("old"), "lanes", "blocks")
-    if history:
-        past = history.keys().select("doc_id", F.struct(F.lit(0).alias("age"), "batch_no", "doc_id").alias("ord"), "hkey", "ckey", F.lit(True).alias("old"), "lanes", F.lit(None).cast("array<bigint>").alias("blocks"))
-        hashes, words = prints.select("hkey").distinct(), prints.select("ckey").distinct()
-        new_blocks = prints.where("blocks is not null").select(F.posexplode("blocks").alias("tbl", "key")).distinct()
-        old_blocks = written(history.blocks().join(new_blocks, ["tbl", "key"], "left_semi"), "old-blocks")
-        wanted = past.join(hashes, "hkey", "left_semi").select("doc_id").union(past.join(words, "ckey", "left_semi").select("doc_id")).union(old_blocks.select("node")).distinct()
-        docs = docs.unionByName(past.join(wanted, "doc_id", "left_semi"))
-        texts = texts.unionByName(history.texts())
     # the earliest document with the same words stands for all of them
-    reps = docs.where("ckey is not null").groupBy("ckey").agg(F.min("ord").alias("o"), F.bool_or("old").alias("node_old")).select("ckey", F.col("o.doc_id").alias("rep"), "o", "node_old")
-    docs = docs.join(reps, "ckey", "left").withColumn("node", F.coalesce("rep", "doc_id"))
-    docs = written(docs.select("doc_id", "ord", "hkey", "node", F.when(F.col("old"), "A").otherwise("U").alias("state"), "old", F.when(F.col("node") == F.col("doc_id"), F.col("lanes")).alias("lanes"), F.when(F.col("node") == F.col("doc_id"), F.col("blocks")).alias("blocks")), "docs")
-    nodes = docs.where("lanes is not null").select("node", "ord", "old", "lanes")
-    members = docs.where("blocks is not null and not old").select(F.posexplode("blocks").alias("tbl", "key"), "node", "ord", "old")
-    if history:
-        members = members.unionByName(old_blocks.join(nodes.select("node", "ord", "old"), "node").select("tbl", "key", "node", "ord", "old"))
-    members = written(_open_blocks(members.withColumn("dead", F.lit(False))), "blocks")
-    most, size = HUBS, docs.count()
-    edges, tested, rest = _similar(members, nodes, texts, None, most)
-    states = docs.select("doc_id", "ord", "hkey", "node", "state")
-    while True:
-        rest = written(_open_blocks(rest), "rest")
-        most *= 4
-        pairs = rest.groupBy("tbl", "key").agg(F.count("*").alias("n"), F.count_if(~F.col("dead")).alias("live")).agg(F.sum(F.col("n") * F.least("live", F.lit(most)))).first()[0]
-        if not pairs:
-            break
-        if pairs > 8 * size:  # blocks of near copies: two nodes that are rejected already need not be compared with each other
-            live = resolve(states, edges, rest).where("state <> 'R'").select("node").distinct().withColumn("_live", F.lit(True))
-            rest = rest.join(live, "node", "left").withColumn("dead", F.col("_live").isNull()).drop("_live")
-            rest = written(_open_blocks(rest), "marked")
-        found, close, rest = _similar(rest, nodes, texts, tested, most)
-        edges, tested = edges.union(found), tested.union(close)
-    edges = written(edges, "edges")
+    ord_ = F.struct("batch_no", "doc_id")
+    reps = prints.where("ckey is not null").groupBy("ckey").agg(F.min(ord_).alias("o")).select("ckey", F.col("o.doc_id").alias("rep"))
+    docs = prints.join(reps, "ckey", "left").select("doc_id", ord_.alias("ord"), "hkey", "ckey", F.coalesce("rep", "doc_id").alias("node"), "lanes", "blocks")
+    mine = F.col("node") == F.col("doc_id")
+    docs = written(docs.select("doc_id", "ord", "hkey", "node", *(F.when(mine, F.col(c)).alias(c) for c in ("ckey", "lanes", "blocks"))), "docs")
+    nodes = docs.where("lanes is not null").select("node", "lanes")
+    keys = stored_keys(docs, "node")
+    found = written(history.find(keys.select("key", "kind", "exact").distinct()), "found")
+    kind = lambda df, k: df.where(F.col("kind") == k)
+    old_hash = docs.join(kind(found, HASH).select(F.col("exact").alias("hkey"), "old"), "hkey").select("doc_id", F.col("old").alias("accepted_id"))
+    same = kind(keys, WORDS).join(kind(found, WORDS).select("exact", "old"), "exact").select(F.col("node").alias("a"), F.col("old").alias("b"))
+    met = kind(keys, BLOCK).select("key", "node").join(kind(found, BLOCK).select("key", "old"), "key").select(F.col("node").alias("a"), F.col("old").alias("b")).distinct()
+    met = written(met.join(same, ["a", "b"], "left_anti"), "met")
+    close_old = near_prints(history.joined(met, "b", "lanes").withColumnRenamed("lanes", "lb").join(nodes.toDF("a", "la"), "a"))
+    # and with each other
+    rest = written(_open_blocks(docs.where("blocks is not null").select(F.explode("blocks").alias("key"), "node", "ord", F.lit(False).alias("dead"))), "blocks")
+    most, largest = HUBS, rest.agg(F.max("_n")).first()[0] or 0
+    close = written(close_old.withColumn("old", F.lit(True)).union(_close(_meetings(rest, most)[0], nodes).withColumn("old", F.lit(False))), "close")
+    stored = history.joined(written(close.where("old").select(F.col("b").alias("node")).distinct(), "asked"), "node", "text")
+    # ids of the history and of the batch differ, so a pair is of one kind
+    edges = overlapping(close.select("a", "b"), texts.unionByName(stored)).join(close, ["a", "b"])
+    edges = written(edges.union(same.withColumn("old", F.lit(True))), "edges")
+    old_edges, edges, tested = edges.where("old").select("a", "b"), edges.where("not old").select("a", "b"), close.where("not old").select("a", "b")
+    known = docs.join(old_edges.select(F.col("a").alias("node")).distinct().withColumn("_t", F.lit(True)), "node", "left").join(old_hash.select("doc_id").distinct().withColumn("_h", F.lit(True)), "doc_id", "left")
+    states = known.select("doc_id", "ord", "hkey", "node", F.when(F.coalesce("_t", "_h", F.lit(False)), "R").otherwise("U").alias("state"))
+    while largest > most:  # blocks with members that have not met yet
+        rest = written(_open_blocks(_meetings(rest, most)[1].drop("_n")), "rest")
+        live = resolve(states, edges, rest).where("state <> 'R'").select("node").distinct().withColumn("_live", F.lit(True))
+        rest = written(_open_blocks(rest.join(live, "node", "left").withColumn("dead", F.col("_live").isNull()).drop("_live", "_n")), "marked")
+        most, largest = most * 4, rest.agg(F.max("_n")).first()[0] or 0
+        if largest:
+            more = written(_close(_meetings(rest, most)[0].join(tested, ["a", "b"], "left_anti"), nodes), "close")
+            edges, tested = edges.union(written(overlapping(more, texts), "edges")), tested.union(more)
     states = resolve(states, edges, None)
     accepted, rejected = states.where("state = 'A'"), states.where("state = 'R'")
     both = edges.union(edges.select("b", "a")).toDF("node", "other")
@@ -291,20 +335,37 @@ def check_batches(documents: DataFrame, history: History | None = None) -> tuple
     holders = accepted.select(F.col("node").alias("other"), F.col("doc_id").alias("accepted_id"), F.col("ord").alias("_before"))
     links = both.union(docs.select("node", F.col("node").alias("other")).distinct())
     by_text = rejected.join(links, "node").join(holders, "other").where("_before < ord").select("doc_id", "accepted_id")
-    pairs = by_hash.union(by_text).distinct()
-    return pairs, states.where("ord.age = 1").select("doc_id", "state"), prints
+    old_text = docs.select("doc_id", "node").join(old_edges.select(F.col("a").alias("node"), F.col("b").alias("accepted_id")), "node").select("doc_id", "accepted_id")
+    pairs = by_hash.union(by_text).union(old_hash).union(old_text).distinct()
+    return pairs, states.select("doc_id", "state"), prints
+
+
+def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """near_prints() of pairs (a, b) of nodes (node, lanes)."""
+    return near_prints(pairs.join(nodes.toDF("a", "la"), "a").join(nodes.toDF("b", "lb"), "b"))
 
 
 def accept(documents: DataFrame, history: History) -> DataFrame:
-    """Checks new batches against the history and appends what is accepted to it; (doc_id, accepted_id) of the rejected ones."""
-    pairs, states, prints = check_batches(documents, history)
+    """Checks a new batch against the history and appends what is accepted to it; (doc_id, accepted_id) of the rejected ones."""
+    pairs, states, prints = check_batch(documents, history)
     pairs = written(pairs, "pairs")
-    new = written(states.where("state = 'A'").select("doc_id"), "accepted")
-    history.append(prints.join(new, "doc_id", "left_semi"), documents.join(new, "doc_id", "left_semi").select(F.col("doc_id").cast("bigint").alias("node"), "text"))
+    new = states.where("state = 'A'").select("doc_id")
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("node"), "text").join(new.withColumnRenamed("doc_id", "node"), "node", "left_semi")
+    history.append(prints.join(new, "doc_id", "left_semi"), texts)
     return pairs
 
 
-def repeats(documents: DataFrame) -> DataFrame:
-    """(doc_id_a, doc_id_b) of each rejected document and the accepted one it repeats, smaller id first."""
-    pairs, _, _ = check_batches(documents)
+def repeats(documents: DataFrame, history: History | None = None) -> DataFrame:
+    """(doc_id_a, doc_id_b) of each rejected document and the accepted one it repeats, smaller id first.
+
+    One batch after the other goes through the store, as when it arrives; each reads its own rows only, which a table partitioned by
+    batch_no finds by its folders. Null batch numbers come first."""
+    spark = documents.sparkSession
+    store = history or History(spark, new_path(spark, "history"))
+    batches = sorted((r[0] for r in documents.select("batch_no").distinct().collect()), key=lambda b: (b is not None, b))
+    found = [accept(documents.where(F.col("batch_no").eqNullSafe(F.lit(b))), store) for b in batches]
+    if history is None:
+        store.close()
+    none = spark.createDataFrame([], "doc_id bigint, accepted_id bigint")
+    pairs = functools.reduce(DataFrame.union, found, none)
     return pairs.select(F.least("doc_id", "accepted_id").alias("doc_id_a"), F.greatest("doc_id", "accepted_id").alias("doc_id_b")).distinct()

@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from leafmill.llm import history, residue, shared_spans
+from leafmill.llm import common, history, residue, shared_spans
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -87,6 +87,41 @@ def test_batches_against_a_store(spark, tmp_path):
     assert got == brute(rows)
 
 
+def test_rows_of_a_failed_append_do_not_count(spark, tmp_path):
+    rows = corpus(7, 40)
+    store = history.History(spark, str(tmp_path / "store"), buckets=3)
+    first, second = [r for r in rows if r[1] == 1], [r for r in rows if r[1] > 1]
+    pairs = {tuple(r) for r in history.accept(frame(spark, first), store).collect()}
+    commit, store._mark = store._mark, lambda kind, name: commit(kind, name) if kind != "commits" else None
+    history.accept(frame(spark, second), store)  # ends before its commit
+    again = history.History(spark, str(tmp_path / "store"))
+    assert again.buckets == 3 and again.parts() == [0]
+    pairs |= {tuple(r) for r in history.accept(frame(spark, second), again).collect()}
+    assert {(min(p), max(p)) for p in pairs} == brute(rows) and again.parts() == [0, 2]
+
+
+def test_rejected_document_of_a_large_block_meets_all_it_repeats(spark, monkeypatch):
+    rows = []
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(120)]
+        parts = [[*base[: 24 * j], *(f"x{g}.{j}.{i}" for i in range(24)), *base[24 * j + 24 :]] for j in range(5)]
+        rows += [(100 * g + j, 1 + j % 2, None, " ".join(p + [f"y{g}.{j}.{i}" for i in range(18)]), "f") for j, p in enumerate(parts)]
+        rows += [(100 * g + 50, 3, None, " ".join(base), "f"), (100 * g + 51, 3, None, " ".join([*base[:-1], "last"]), "f")]
+    want = brute(rows)
+    for hubs in (1, 16):
+        monkeypatch.setattr(history, "HUBS", hubs)
+        one_batch = [(i, 1, h, t, f) for i, _, h, t, f in rows]
+        assert {tuple(r) for r in history.repeats(frame(spark, rows)).collect()} == want
+        assert {tuple(r) for r in history.repeats(frame(spark, one_batch)).collect()} == brute(one_batch)
+
+
+def test_broadcast_or_shuffle_give_the_same(spark, monkeypatch):
+    rows = corpus(11, 50)
+    for most in (0, 1 << 40):
+        monkeypatch.setattr(common, "MOST_BYTES", most)
+        assert {tuple(r) for r in history.repeats(frame(spark, rows)).collect()} == brute(rows)
+
+
 def shared_brute(texts, span):
     grams = {}
     for i, t in texts.items():
