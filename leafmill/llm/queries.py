@@ -43,11 +43,11 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conversations.dropped_sessions(table(spark, sf_dir, "sessions"), conversations.streamed(spark, f"{sf_dir}/session_messages.parquet"))
+    return conversations.dropped_sessions(table(spark, sf_dir, "sessions"), conversations.Replay(table(spark, sf_dir, "session_messages")))
 
 
 def p3_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conversations.conversations(conversations.streamed(spark, f"{sf_dir}/session_messages.parquet"))
+    return conversations.conversations(conversations.Replay(table(spark, sf_dir, "session_messages")))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

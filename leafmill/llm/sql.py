@@ -10,7 +10,7 @@ WITH m AS (
          CASE WHEN r IN ('user', 'human') THEN 'user' WHEN r IN ('assistant', 'bot', 'ai') THEN 'assistant' WHEN r = 'system' THEN 'system' END AS role
   FROM (SELECT *, lower(regexp_replace(role, '^\s+|\s+$', '', 'g')) AS r FROM session_messages)
 ),
-rows AS (SELECT * FROM m WHERE role IS NULL OR role <> 'system'),
+rows AS (SELECT * FROM m WHERE role IS NULL OR role <> 'system' OR created_at IS NULL),
 marked AS (
   SELECT *, created_at - lag(created_at) OVER (PARTITION BY session_id, role, content ORDER BY created_at, id) <= INTERVAL 5 SECOND AS again,
          NOT coalesce(regexp_matches(regexp_replace(content, '<think>.*?(</think>|$)', '', 'gs'), '[^\p{Z}\p{C}\s]'), false) AS blank

@@ -79,21 +79,26 @@ SESSIONS = {
     "role": [("user", "q", 0), ("tool", "x", 1), ("assistant", "a", 2)],
     "norole": [("user", "q", 0), (None, "x", 1), ("assistant", "a", 2)],
     "notime": [("user", "q", 0), ("assistant", "a", 1), ("assistant", "b", None)],
-    "system": [("system", "s", 0), ("user", "q", 1), ("assistant", "a", 2), ("system", "", None)],
+    "system": [("system", "s", 0), ("user", "q", 1), ("assistant", "a", 2)],
+    "timeless system": [("system", "s", None), ("user", "q", 1), ("assistant", "a", 2)],
+    "resumed": [("user", "q", 0), ("assistant", "a", 1), ("assistant", "b", 86400 * 20), ("user", "r", 86400 * 20 + 1), ("assistant", "c", 86400 * 20 + 2)],
+    "resumed without reply": [("user", "q", 0), ("assistant", "a", 1), ("user", "r", 86400 * 20)],
+    "reply after the timeout": [("user", "q", 0), ("assistant", "a", 86400 * 20)],
+    "future": [("user", "q", 0), ("assistant", "a", 1), ("user", "r", 4_000_000_000), ("assistant", "b", 4_000_000_001)],
+    "": [("user", "q", 0), ("assistant", "a", 1)],
     "old": [("user", "q", -2_000_000_000), ("assistant", "a", -1_999_999_999)],
     "empty": [],
 }
-GOOD = {"good", "late", "hours", "repeat", "system", "old"}
+GOOD = {"good", "late", "hours", "repeat", "system", "old", "resumed", "reply after the timeout", "future", ""}
 
 
-@pytest.mark.parametrize("per_trigger", [None, 1])
-def test_conversations(spark, tmp_path, per_trigger):
+@pytest.mark.parametrize("triggers", [1, 4])
+def test_conversations(spark, triggers):
     rows = [(i, s, role, content, at(t)) for i, (s, (role, content, t)) in enumerate((s, m) for s, ms in SESSIONS.items() for m in ms)]
     rows.append((999, None, "user", "nobody", at(0)))
     m = spark.createDataFrame(rows, "id long, session_id string, role string, content string, created_at timestamp_ntz")
-    path = str(tmp_path / "messages")
-    m.repartition(3).write.parquet(path)
-    found = conversations.streamed(spark, path, "40000 days" if per_trigger else "7 days", per_trigger)
+    found = conversations.Replay(m.repartition(3), triggers=triggers)
+    assert found.late == 0
     sessions = spark.createDataFrame([(s,) for s in SESSIONS] + [(None,)], "session_id string")
     assert {r[0] for r in conversations.dropped_sessions(sessions, found).collect()} == set(SESSIONS) - GOOD
     out = {}
@@ -104,8 +109,16 @@ def test_conversations(spark, tmp_path, per_trigger):
     assert [x[0] for x in out["hours"]] == [0, 1, 2, 3, 4]
 
 
-def test_no_messages(spark, tmp_path):
+def test_late_rows_are_counted(spark):
+    rows = [(0, "a", "user", "q", at(0)), (1, "b", "user", "q", at(86400 * 40)), (2, "b", "assistant", "a", at(86400 * 40 + 1)), (3, "a", "assistant", "too late", at(1))]
+    m = spark.createDataFrame(rows, "id long, session_id string, role string, content string, created_at timestamp_ntz")
+    found = conversations.Replay(m, "1 day", triggers=4)
+    assert found.late == 1
+    assert {r[0] for r in conversations.dropped_sessions(m.select("session_id"), found).collect()} == {"a"}
+    assert conversations.Replay(m, "60 days", triggers=4).late == 0
+
+
+def test_no_messages(spark):
     m = spark.createDataFrame([], "id long, session_id string, role string, content string, created_at timestamp_ntz")
-    m.write.parquet(str(tmp_path / "none"))
-    found = conversations.streamed(spark, str(tmp_path / "none"))
-    assert found.count() == 0 and conversations.dropped_sessions(spark.createDataFrame([("a",)], "session_id string"), found).count() == 1
+    found = conversations.Replay(m)
+    assert found.blocks.count() == 0 and conversations.conversations(found).count() == 0 and conversations.dropped_sessions(spark.createDataFrame([("a",)], "session_id string"), found).count() == 1
