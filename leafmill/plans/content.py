@@ -19,7 +19,7 @@ def _messages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def intent_classify(spark: SparkSession, d: str) -> DataFrame:
-    return _messages(spark, d).select("id", T.intent(F.col("content")).alias("intent"), F.array_join(T.signals(F.col("content"), T.COMPARISON), ",").alias("signals"))
+    return _messages(spark, d).select("id", T.intent(F.col("content")).alias("intent"), F.array_join(T.intent_signals(F.col("content")), ",").alias("signals"))
 
 
 def multi_topic_flag(spark: SparkSession, d: str) -> DataFrame:
@@ -90,9 +90,12 @@ def significance_marks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def miss_detect(spark: SparkSession, d: str) -> DataFrame:
-    """Each assistant row as an answer, the row before it as the question, the answer's session as context."""
-    m = _messages(spark, d)
-    return m.select("id", F.array_join(T.missing_tokens(F.lit("Which OUTSOURCING policy applies to EUR cases"), F.concat(F.lit("there is no mention of it. "), "content"), F.col("content")), ",").alias("missing"))
+    """Each message as an answer to the one before it in its session, in the context of the page summary with its id."""
+    m = _t(spark, d, "session_messages").where("content is not null and session_id is not null")
+    asked = m.withColumn("question", F.lag("content").over(Window.partitionBy("session_id").orderBy("id"))).where("question is not null")
+    x = asked.join(_t(spark, d, "page_summaries").select("id", "summary_text"), "id", "left")
+    tokens = T.missing_tokens(F.col("question"), F.col("content"), F.col("summary_text"))
+    return x.select("id", T.has_miss(F.col("content")).alias("says_so"), F.array_join(tokens, ",").alias("missing"), F.md5(F.array_join(T.missing_tokens(F.col("question"), F.lit("geen informatie"), F.col("summary_text")), ",")).alias("if_it_did"))
 
 
 def json_headers(spark: SparkSession, d: str) -> DataFrame:
@@ -160,8 +163,8 @@ def line_pages(spark: SparkSession, d: str) -> DataFrame:
 
 def section_ids(spark: SparkSession, d: str) -> DataFrame:
     """Lines of a page with the running number of headings and the heading that holds."""
-    g = _t(spark, d, "glossary").where("term_id <= 22").select(F.col("term").alias("line"), F.lit(1).alias("h"))
-    lines = _t(spark, d, "pages").where("length(raw_text) between 1 and 2000").select("id", F.posexplode(F.split("raw_text", "\n")).alias("pos", "line"))
+    g = _t(spark, d, "glossary").where("term is not null").select(F.col("term").alias("line"), F.lit(1).alias("h")).distinct()
+    lines = _t(spark, d, "pages").where("raw_text is not null").select("id", F.posexplode(F.split("raw_text", "\n")).alias("pos", "line"))
     w = Window.partitionBy("id").orderBy("pos")
     x = lines.join(F.broadcast(g), "line", "left").withColumn("section", F.sum(F.coalesce("h", F.lit(0))).over(w)).withColumn("heading", F.last(F.when(F.col("h") == 1, F.col("line")), True).over(w))
     return x.select("id", F.col("pos").cast("bigint").alias("pos"), "section", "heading")
@@ -178,13 +181,16 @@ def _any(col: str, words: list[str]) -> str:
 
 
 _L = "lower(content)"
-_SPLIT = "\n".join(f"WHEN position(' {c} ' IN {_L}) > 0 THEN [trim(substr(content, 1, position(' {c} ' IN {_L}) - 1)), trim(substr(content, position(' {c} ' IN {_L}) + {len(c) + 2}))]" for c in T.CONJUNCTIONS)
-_TABLE = r"len(list_filter(string_split(raw_text, chr(10)), lambda x: regexp_matches(x, '\|[^|]*\|') OR regexp_matches(x, '\t[^\t]*\t') OR regexp_matches(x, '(?:[\s]{2,}[^\s]{1,40}.*){2,}'))) > 0"
+_SPLIT = "\n".join(f"WHEN position(' {c} ' IN {_L}) > 0 AND trim(substr(content, 1, position(' {c} ' IN {_L}) - 1)) <> '' AND trim(substr(content, position(' {c} ' IN {_L}) + {len(c) + 2})) <> '' THEN [trim(substr(content, 1, position(' {c} ' IN {_L}) - 1)), trim(substr(content, position(' {c} ' IN {_L}) + {len(c) + 2}))]" for c in T.CONJUNCTIONS)
+_LINES = r"regexp_split_to_array(raw_text, '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]')"
+_TABLE = rf"len(list_filter({_LINES}, lambda x: regexp_matches(x, '^.*\|.*\|', 's') OR regexp_matches(x, '\t.*\t', 's') OR regexp_matches(x, '(?:[ ]{{2,}}[^\s]{{1,40}}){{2,}}'))) > 0"
+_SIG = lambda words: "list_filter([" + ", ".join(f"'{w}'" for w in words) + f"], lambda w: contains({_L}, w))"
 _WORDS = r"len(list_filter(regexp_split_to_array({}, '\s+'), lambda w: w <> ''))"
 
 SQL = {
-    "intent_classify": f"""SELECT id, CASE WHEN {_any(_L, T.COMPARISON)} THEN 'comparison' WHEN {_any(_L, T.AGGREGATION)} THEN 'aggregation' WHEN {_any(_L, T.MULTI_TOPIC)} OR length(content) - length(replace(content, '?', '')) > 1 THEN 'multi_topic' ELSE 'single' END AS intent,
-        coalesce(array_to_string(list_filter([{", ".join(f"'{w}'" for w in T.COMPARISON)}], lambda w: contains({_L}, w)), ','), '') AS signals FROM session_messages WHERE content IS NOT NULL""",
+    "intent_classify": f"""WITH c AS (SELECT id, {_SIG(T.COMPARISON)} AS c, {_SIG(T.AGGREGATION)} AS a, {_SIG(T.MULTI_TOPIC)} AS m, length(content) - length(replace(content, '?', '')) > 1 AS q FROM session_messages WHERE content IS NOT NULL)
+        SELECT id, CASE WHEN len(c) > 0 THEN 'comparison' WHEN len(a) > 0 THEN 'aggregation' WHEN len(m) > 0 OR q THEN 'multi-topic' ELSE 'single' END AS intent,
+          coalesce(array_to_string(CASE WHEN len(c) > 0 THEN c WHEN len(a) > 0 THEN a WHEN q THEN list_append(m, 'multiple-questions') ELSE m END, ','), '') AS signals FROM c""",
     "multi_topic_flag": r"SELECT id, length(content) - length(replace(content, '?', '')) >= 2 OR (length(content) > 100 AND len(regexp_extract_all(lower(content), '\band\b')) >= 3) AS multi FROM session_messages WHERE content IS NOT NULL",
     "expand_query": f"SELECT id, md5(CASE WHEN {_WORDS.format('content')} < 8 THEN 'Provide detailed information about ' || content || '. Include definitions, context and details.' ELSE content END) AS expanded_md5 FROM session_messages WHERE content IS NOT NULL",
     "fallback_split": f"WITH p AS (SELECT id, CASE {_SPLIT} ELSE [content] END AS parts FROM session_messages WHERE content IS NOT NULL) SELECT id, unnest(range(len(parts))) AS part, md5(unnest(parts)) AS text_md5 FROM p",
@@ -202,7 +208,10 @@ SQL = {
     "source_types": r"SELECT id, CASE lower(regexp_extract(filename, '\.([^.]+)$', 1)) WHEN 'pdf' THEN 'pdf' WHEN 'docx' THEN 'docx' WHEN 'pptx' THEN 'pptx' WHEN 'xlsx' THEN 'xlsx' WHEN 'html' THEN 'html' WHEN 'htm' THEN 'html' ELSE 'unsupported' END AS source_type FROM doc_versions WHERE filename IS NOT NULL",
     "url_page_id": r"SELECT id, coalesce(nullif(regexp_extract(coalesce(source_id, ''), '(\d+)', 1), ''), '7') AS page_id, 'https://wiki.example.org' AS base FROM doc_versions",
     "significance_marks": "SELECT id, array_to_string(list_sort(list_distinct(regexp_extract_all(raw_text, '[*†‡§¶^]'))), '') AS marks FROM pages WHERE regexp_matches(raw_text, '[*†‡§¶^]')",
-    "miss_detect": f"SELECT id, coalesce(array_to_string(list_filter(['applies', 'cases', 'eur', 'outsourcing', 'policy', 'which'], lambda w: NOT contains({_L}, w)), ','), '') AS missing FROM session_messages WHERE content IS NOT NULL",
+    "miss_detect": rf"""WITH m AS (SELECT id, content, lag(content) OVER (PARTITION BY session_id ORDER BY id) AS question FROM session_messages WHERE content IS NOT NULL AND session_id IS NOT NULL),
+        x AS (SELECT m.id, {_any("lower(content)", T.MISS_PHRASES)} AS says_so, list_sort(list_filter(list_distinct(list_filter(regexp_extract_all(question, '[\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Z]{{3,}}|[A-Za-z]{{4,}}'))),
+          lambda w: NOT contains(lower(coalesce(s.summary_text, '')), lower(w)))) AS t FROM m LEFT JOIN page_summaries s ON s.id = m.id WHERE question IS NOT NULL)
+        SELECT id, says_so, CASE WHEN says_so THEN coalesce(array_to_string(t, ','), '') ELSE '' END AS missing, md5(coalesce(array_to_string(t, ','), '')) AS if_it_did FROM x""",
     "json_headers": "SELECT id, unnest(range(len(headers))) AS pos, unnest(headers) AS header FROM pages WHERE headers IS NOT NULL",
     "distinct_headers": "WITH u AS (SELECT id, unnest(headers) AS h, unnest(range(len(headers))) AS p FROM pages), f AS (SELECT id, h, min(p) AS p FROM u GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p) AS rn FROM f) SELECT p.id, coalesce(string_agg(h, '|' ORDER BY rn), '') AS headers FROM pages p LEFT JOIN r ON r.id = p.id AND rn <= 10 WHERE p.headers IS NOT NULL GROUP BY p.id",
     "citations": "SELECT result_id, coalesce(nullif(filename, ''), 'unknown') AS filename, coalesce(nullif(source_type, ''), 'document') AS source, round(score, 4) AS score, substr(coalesce(summary_text, ''), 1, 300) AS excerpt FROM search_results",
@@ -210,7 +219,7 @@ SQL = {
     "flatten_rows": "SELECT p_partkey, 'key: ' || p_partkey || ' | name: ' || p_name || ' | ' || p_brand || CASE WHEN p_size % 5 <> 0 THEN ' | size: ' || p_size ELSE '' END AS line FROM part",
     "markdown_rows": "SELECT s_suppkey, '| ' || s_suppkey || ' | ' || s_name || ' | ' || s_nationkey || ' |  |' AS line, '| key: ' || s_suppkey || ' | ' || s_name || ' | nation: ' || s_nationkey || ' |' AS injected FROM supplier",
     "sheet_summary": "SELECT c_mktsegment, 'Sheet: ' || c_mktsegment || '. Columns: col0, col1, col2, col3, col4, col5, col6, col7 (+2 more). Rows: ' || count(*) || '.' AS summary FROM customer GROUP BY c_mktsegment",
-    "section_ids": """WITH l AS (SELECT id, unnest(range(len(string_split(raw_text, chr(10))))) AS pos, unnest(string_split(raw_text, chr(10))) AS line FROM pages WHERE length(raw_text) BETWEEN 1 AND 2000),
-        h AS (SELECT l.*, g.term IS NOT NULL AS h FROM l LEFT JOIN (SELECT term FROM glossary WHERE term_id <= 22) g ON g.term = l.line)
+    "section_ids": """WITH l AS (SELECT id, unnest(range(len(string_split(raw_text, chr(10))))) AS pos, unnest(string_split(raw_text, chr(10))) AS line FROM pages WHERE raw_text IS NOT NULL),
+        h AS (SELECT l.*, g.term IS NOT NULL AS h FROM l LEFT JOIN (SELECT DISTINCT term FROM glossary) g ON g.term = l.line)
         SELECT id, pos, (count(*) FILTER (WHERE h) OVER w)::BIGINT AS section, last_value(CASE WHEN h THEN line END IGNORE NULLS) OVER w AS heading FROM h WINDOW w AS (PARTITION BY id ORDER BY pos)""",
 }
