@@ -15,6 +15,7 @@ import functools
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +32,16 @@ SHINGLE, LEAST_WORDS, OVERLAP = 3, 50, 0.6
 LEAST_LANES = 48
 #: Members of a block that all others are compared with in the first round; four times as many in each further one.
 HUBS = 16
-#: Kinds of stored keys: file hash, hash of all words, block of lanes.
+#: Kinds of keys: file hash, hash of all words, block of lanes.
 HASH, WORDS, BLOCK = 0, 1, 2
-#: Folders that stored fingerprints and texts are spread over; a lookup reads only those of the documents it found.
-SLOTS = 32
+#: Folders that stored fingerprints and texts are spread over; a lookup reads only those of the documents it found. More for larger stores.
+SLOTS = 8
+#: Batches that the first load of a backlog takes; every load is some hundred small stages, whatever it holds.
+FIRST_LOAD = 6
 _words = re.compile(r"[^\W_]+").findall
 _rng = np.random.Generator(np.random.PCG64(20_240_229))
-_A = _rng.integers(1, 1 << 63, LANES, dtype=np.uint64) | np.uint64(1)
-_B = _rng.integers(0, 1 << 63, LANES, dtype=np.uint64)
+_A = _rng.integers(1, 1 << 32, LANES, dtype=np.uint32) | np.uint32(1)
+_B = _rng.integers(0, 1 << 32, LANES, dtype=np.uint32)
 _M = [np.uint64(x | 1) for x in _rng.integers(1, 1 << 63, 8, dtype=np.uint64).tolist()]
 COLUMNS = ["doc_id", "batch_no", "hash", "text"]
 PRINTS = "doc_id bigint, batch_no int, hkey string, ckey string, lanes binary, blocks array<bigint>"
@@ -72,9 +75,10 @@ def shingles(text: str | None, seen: _WordHash, size: int = SHINGLE, least: int
 
 
 def min_hashes(s: np.ndarray) -> np.ndarray:
-    low = np.full(LANES, 0xFFFFFFFF, np.uint64)
-    for i in range(0, len(s), 2048):
-        low = np.minimum(low, ((s[i : i + 2048, None] * _A + _B) >> np.uint64(32)).min(axis=0))
+    """The LANES MinHashes of a set of hashes, from their high halves (32-bit products are vectorised)."""
+    low, high = np.full(LANES, 0xFFFFFFFF, np.uint32), (s >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(s), 256):  # products stay in the cache
+        low = np.minimum(low, (high[i : i + 256, None] * _A + _B).min(axis=0))
     return low
 
 
@@ -98,7 +102,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
                 low = min_hashes(s)
                 ckeys.append(key)
                 lanes.append(low.astype(np.uint8).tobytes())
-                rows = low.reshape(TABLES, WIDTH)
+                rows = low.astype(np.uint64).reshape(TABLES, WIDTH)
                 key = np.arange(TABLES, dtype=np.uint64)
                 for i in range(WIDTH):
                     key = _mixed(key + rows[:, i] * _M[i])
@@ -168,26 +172,26 @@ def _meetings(blocks: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
 
 def _open_blocks(members: DataFrame) -> DataFrame:
     """The members of blocks that hold two or more nodes, at least one of them not dead; _n: how many."""
-    many = members.groupBy("key").agg(F.count("*").alias("_n"), F.bool_and("dead").alias("_dead")).where("_n > 1 and not _dead")
-    return members.join(many.select("key", "_n"), "key")
+    many = members.groupBy("key").agg(F.count("*").alias("_n"), F.min("dead").alias("_dead")).where("_n > 1 and not _dead")
+    return members.join(sized(written(many.select("key", "_n"), "open")), "key")
 
 
 def resolve(docs: DataFrame, edges: DataFrame, blocked: DataFrame | None) -> DataFrame:
-    """docs with their state: A accepted, R rejected, U open. docs: (doc_id, ord, hkey, node, state).
+    """docs with their state: A accepted, R rejected, U open. docs: (doc_id, ord, hkey, node, state, twin).
 
     A document is rejected once an accepted one shares its hash or node or has a similar node, and accepted once no earlier document
     does that is not rejected; nodes in `blocked` have comparisons open and cannot be accepted yet. Each round decides all documents
-    whose earlier neighbours are decided; groups are only ever aggregated to their earliest members."""
+    whose earlier neighbours are decided; groups are only ever aggregated to their earliest members. Documents that are no twin (no
+    other one has their hash or words) and in no edge are decided at once and take no part in the rounds."""
     both = edges.union(edges.select("b", "a")).toDF("node", "other")
-    many = lambda key: docs.where(f"{key} is not null").groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)
-    marks = docs.join(many("hkey").withColumn("_h", F.lit(True)), "hkey", "left").join(many("node").union(both.select("node")).distinct().withColumn("_g", F.lit(True)), "node", "left")
+    linked = sized(written(both.select("node").distinct(), "linked")).withColumn("_g", F.lit(True))
+    marks = docs.join(linked, "node", "left")
     if blocked is not None:
-        marks = marks.join(blocked.select("node").distinct().withColumn("held", F.lit(True)), "node", "left")
+        marks = marks.join(sized(written(blocked.select("node").distinct(), "held")).withColumn("held", F.lit(True)), "node", "left")
     else:
         marks = marks.withColumn("held", F.lit(None).cast("boolean"))
     columns = ["doc_id", "ord", "hkey", "node", "state", "held"]
-    marks = written(marks.select(*columns, (F.col("_h").isNotNull() | F.col("_g").isNotNull()).alias("busy")), "marks")
-    # most documents have no neighbour at all and take no part in the rounds
+    marks = written(marks.select(*columns, (F.col("twin") | F.col("_g").isNotNull()).alias("busy")), "marks")
     alone = marks.where("not busy").withColumn("state", F.when(F.col("held") | (F.col("state") != "U"), F.col("state")).otherwise("A"))
     docs, first = marks.where("busy").select(*columns), lambda state: F.min(F.when(F.col("state") == state, F.col("ord"))) if state else F.min("ord")
     was = None
@@ -210,8 +214,8 @@ def resolve(docs: DataFrame, edges: DataFrame, blocked: DataFrame | None) -> Dat
 class History:
     """Accepted documents in a folder, appended part by part.
 
-    keys: (key, kind, exact, node, part), bucketed by key, so that a lookup shuffles what it asks for and not what is stored.
-    documents: (doc_id, lanes, text, part) in SLOTS folders by doc_id; a lookup reads only the folders of the documents it found.
+    keys: (key, exact, node, part), bucketed by key as the keys of a batch are, so that a lookup shuffles nothing that is stored.
+    lanes, text: (doc_id, lanes or text, part) in SLOTS folders by doc_id; a lookup reads only the folders of the documents it found.
     A part counts once its commit mark is there: rows of a failed append are never read, and the next append takes another number."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
@@ -221,11 +225,15 @@ class History:
         self.buckets = int(layout[0]) if layout else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         if not layout:
             self._mark("layout", str(self.buckets))
-        self.table = "leafmill_" + hashlib.md5(self.path.encode()).hexdigest()
-        spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.table} (key bigint, kind tinyint, exact string, node bigint, part int) USING parquet "
-            f"OPTIONS (compression 'zstd') CLUSTERED BY (key) INTO {self.buckets} BUCKETS LOCATION '{self.path}/keys'"
-        )
+        self.tables: list[str] = []
+        self.stored = self._bucketed(f"{self.path}/keys", "part int")
+
+    def _bucketed(self, path: str, more: str) -> str:
+        """The name of a table of keys in buckets, in the session's catalogue only: the files stay when the name goes."""
+        name = "leafmill_" + hashlib.md5(path.encode()).hexdigest()
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (key bigint, exact string, node bigint, {more}) USING parquet OPTIONS (compression 'zstd') CLUSTERED BY (key) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        self.tables.append(name)
+        return name
 
     def _names(self, kind: str) -> list[str]:
         fs, p = filesystem(self.spark, f"{self.path}/{kind}")
@@ -243,49 +251,74 @@ class History:
         failed = sorted({int(x) for x in self._names("begun")} - set(parts))
         return rows.where((F.col("part") <= max(parts, default=-1)) & ~F.col("part").isin(failed))
 
-    def find(self, asked: DataFrame) -> DataFrame:
-        """(key, kind, exact, old): the stored documents with one of the keys asked for (key, kind, exact; distinct)."""
-        held = self._committed(self.spark.table(self.table)).select("key", "kind", F.col("exact").alias("_e"), F.col("node").alias("old"))
-        return asked.join(held, ["key", "kind"]).where(F.col("exact").eqNullSafe(F.col("_e"))).select("key", "kind", "exact", "old")
+    def staged(self, keys: DataFrame) -> DataFrame:
+        """The keys of a batch (key, exact, node) as a table in the store's buckets: shuffled once, for all that is asked of it."""
+        name = self._bucketed(new_path(self.spark, "keys"), "kind tinyint")
+        keys.select("key", "exact", "node", "kind").repartition(self.buckets, "key").write.insertInto(name)
+        return self.spark.table(name)
+
+    def touched(self, staged: DataFrame) -> DataFrame:
+        """(key, node, kind, old, n) of a batch's keys that a stored document `old` has, or n > 1 nodes of the batch.
+
+        Each key is looked up once, however many nodes have it."""
+        held = self._committed(self.spark.table(self.stored)).select("key", F.col("exact").alias("_e"), F.col("node").alias("old"))
+        # the full key is compared in a case, as an equality would become one more key to shuffle by
+        equal = F.coalesce(F.when(F.col("exact").isNull(), F.col("_e").isNull()).otherwise(F.col("exact") == F.col("_e")), F.lit(False))
+        # hashed by bucket, not sorted: a bucket holds no more of a batch than the store's layout lets it
+        asked = staged.groupBy("key", "exact").agg(F.count("*").alias("n")).hint("shuffle_hash").join(held, "key", "left")
+        asked = asked.withColumn("old", F.when(equal, F.col("old"))).where("n > 1 or old is not null").select("key", F.col("exact").alias("_e"), "n", "old")
+        return written(staged.join(sized(written(asked, "asked")), "key").where(equal).select("key", "node", "kind", "old", "n"), "touched")
 
     def joined(self, ids: DataFrame, by: str, column: str) -> DataFrame:
         """ids, a written table, with `column` (lanes or text) of the stored documents that its column `by` names."""
         slots = [r[0] for r in ids.select(F.pmod(F.xxhash64(by), F.lit(SLOTS)).alias("s")).distinct().collect()]  # at most SLOTS rows
         if not slots:
             return ids.withColumn(column, F.lit(None).cast("binary" if column == "lanes" else "string"))
-        held = self.spark.read.schema("doc_id bigint, lanes binary, text string, part int, slot int").parquet(f"{self.path}/documents")
+        held = self.spark.read.schema(f"doc_id bigint, {column} {'binary' if column == 'lanes' else 'string'}, part int, slot int").parquet(f"{self.path}/{column}")
         held = self._committed(held).where(F.col("slot").isin(slots)).select(F.col("doc_id").alias(by), column)
         return held.join(sized(ids), by).select(*ids.columns, column)
 
-    def append(self, prints: DataFrame, texts: DataFrame) -> None:
-        """Adds accepted documents as one part: fingerprints() rows, and (node, text)."""
+    def append(self, keys: DataFrame, *documents: DataFrame) -> None:
+        """Adds accepted documents as one part: their keys (key, exact, node), and two tables (doc_id, lanes) and (doc_id, text)."""
         part = max([int(x) for x in self._names("begun")], default=-1) + 1
         self._mark("begun", f"{part:09d}")
-        keys = stored_keys(prints, "doc_id").withColumn("part", F.lit(part))
-        keys.repartition(self.buckets, "key").write.insertInto(self.table)
-        rows = prints.select("doc_id", "lanes").join(texts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        rows = rows.withColumn("part", F.lit(part)).withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)))
-        # several files a folder where a part is large
-        rows.repartition("slot", F.pmod(F.col("doc_id"), F.lit(max(1, self.buckets // SLOTS)))).write.mode("append").option("compression", "zstd").partitionBy("slot").parquet(f"{self.path}/documents")
+        keys.select("key", "exact", "node", F.lit(part).alias("part")).repartition(self.buckets, "key").write.insertInto(self.stored)
+        for rows in documents:
+            rows = rows.withColumn("part", F.lit(part)).withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)))
+            # several files a folder where the store is large
+            rows = rows.repartition("slot", F.pmod(F.col("doc_id"), F.lit(max(1, self.buckets // SLOTS))))
+            rows.write.mode("append").option("compression", "zstd").partitionBy("slot").parquet(f"{self.path}/{rows.columns[1]}")
         self._mark("commits", f"{part:09d}")
 
     def close(self) -> None:
-        """Takes the key table's name out of the session's catalogue; the folder stays."""
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        """Takes the tables' names out of the session's catalogue; the folder stays."""
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def document_keys(prints: DataFrame, kinds: tuple[int, ...] = (HASH, WORDS, BLOCK)) -> DataFrame:
+    """(key, exact, node, kind) of fingerprints() rows; exact is the full hash behind a key, null for blocks, which are hashes of lanes."""
+    entry = lambda kind, key, exact: F.struct(key.alias("key"), exact.cast("string").alias("exact"), F.lit(kind).cast("tinyint").alias("kind"))
+    none = F.array().cast("array<struct<key:bigint,exact:string,kind:tinyint>>")
+    parts = [F.when(F.col(c).isNotNull(), F.array(entry(k, F.xxhash64(F.lit(k), F.col(c)), F.col(c)))) for k, c in ((HASH, "hkey"), (WORDS, "ckey")) if k in kinds]
+    parts += [F.transform("blocks", lambda b: entry(BLOCK, b, F.lit(None)))] if BLOCK in kinds else []
+    return prints.select(F.explode(F.concat(*(F.coalesce(p, none) for p in parts))).alias("k"), F.col("doc_id").alias("node")).select("k.*", "node")
 
 
-def stored_keys(prints: DataFrame, node: str) -> DataFrame:
-    """(key, kind, exact, node) of fingerprints() rows; exact is the full hash behind a key, null for blocks, which are hashes of lanes."""
-    entry = lambda kind, key, exact: F.struct(key.alias("key"), F.lit(kind).cast("tinyint").alias("kind"), exact.cast("string").alias("exact"))
-    exact = [F.when(F.col(c).isNotNull(), entry(k, F.xxhash64(c), F.col(c))) for k, c in ((HASH, "hkey"), (WORDS, "ckey"))]
-    blocks = F.coalesce(F.transform("blocks", lambda b: entry(BLOCK, b, F.lit(None))), F.array().cast("array<struct<key:bigint,kind:tinyint,exact:string>>"))
-    return prints.select(F.explode(F.concat(F.array_compact(F.array(*exact)), blocks)).alias("k"), F.col(node).alias("node")).select("k.*", "node")
+@dataclass
+class Checked:
+    """What check_batch() found. pairs: (doc_id, accepted_id) of each rejected document and every accepted one it repeats. states:
+    (doc_id, node, state), A or R. prints: fingerprints() rows. keys: the batch's keys in the store's buckets."""
 
+    pairs: DataFrame
+    states: DataFrame
+    prints: DataFrame
+    keys: DataFrame
 
-def check_batch(documents: DataFrame, history: History) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pairs, states, fingerprints) of new documents, checked against the history and each other in order (batch_no, doc_id).
 
-    pairs: (doc_id, accepted_id) of each rejected document and every accepted one it repeats. states: (doc_id, state), A or R.
+def check_batch(documents: DataFrame, history: History) -> Checked:
+    """New documents, checked against the history and each other in order (batch_no, doc_id).
+
     Documents need doc_id (unique, and not in the history), batch_no, hash, text; other columns are ignored. Null and empty hashes equal
     nothing; texts that are null or have under 50 words only compare by hash; null batch numbers come first. An empty frame gives empty
     frames.
@@ -294,23 +327,26 @@ def check_batch(documents: DataFrame, history: History) -> tuple[DataFrame, Data
     documents have is only aggregated, and asked for once."""
     prints = written(fingerprints(documents.select(*COLUMNS)), "prints")
     texts = documents.select(F.col("doc_id").cast("bigint").alias("node"), "text")
-    # the earliest document with the same words stands for all of them
     ord_ = F.struct("batch_no", "doc_id")
-    reps = prints.where("ckey is not null").groupBy("ckey").agg(F.min(ord_).alias("o")).select("ckey", F.col("o.doc_id").alias("rep"))
-    docs = prints.join(reps, "ckey", "left").select("doc_id", ord_.alias("ord"), "hkey", "ckey", F.coalesce("rep", "doc_id").alias("node"), "lanes", "blocks")
-    mine = F.col("node") == F.col("doc_id")
-    docs = written(docs.select("doc_id", "ord", "hkey", "node", *(F.when(mine, F.col(c)).alias(c) for c in ("ckey", "lanes", "blocks"))), "docs")
-    nodes = docs.where("lanes is not null").select("node", "lanes")
-    keys = stored_keys(docs, "node")
-    found = written(history.find(keys.select("key", "kind", "exact").distinct()), "found")
-    kind = lambda df, k: df.where(F.col("kind") == k)
-    old_hash = docs.join(kind(found, HASH).select(F.col("exact").alias("hkey"), "old"), "hkey").select("doc_id", F.col("old").alias("accepted_id"))
-    same = kind(keys, WORDS).join(kind(found, WORDS).select("exact", "old"), "exact").select(F.col("node").alias("a"), F.col("old").alias("b"))
-    met = kind(keys, BLOCK).select("key", "node").join(kind(found, BLOCK).select("key", "old"), "key").select(F.col("node").alias("a"), F.col("old").alias("b")).distinct()
-    met = written(met.join(same, ["a", "b"], "left_anti"), "met")
+    # the earliest document with the same words stands for all of them
+    many = sized(written(prints.where("ckey is not null").groupBy("ckey").agg(F.count("*").alias("n")).where("n > 1").select("ckey"), "many"))
+    reps = prints.select("ckey", "batch_no", "doc_id").join(many, "ckey", "left_semi").groupBy("ckey").agg(F.min(ord_).alias("o")).select("ckey", F.col("o.doc_id").alias("rep"))
+    docs = prints.select("doc_id", ord_.alias("ord"), "hkey", "ckey").join(sized(written(reps, "reps")), "ckey", "left").select("doc_id", "ord", "hkey", F.coalesce("rep", "doc_id").alias("node"))
+    docs = written(docs, "docs")
+    later = written(docs.where("node <> doc_id").select("doc_id", "node"), "copies")
+    copies = later.select(F.col("doc_id").alias("node")).union(later.select("node"))
+    first = prints.join(sized(later.select("doc_id")), "doc_id", "left_anti")
+    nodes = sized(first.where("lanes is not null").select(F.col("doc_id").alias("node"), "lanes"))
+    keys = history.staged(document_keys(prints, (HASH,)).unionByName(document_keys(first, (WORDS, BLOCK))))
+    touched = history.touched(keys)
+    kind = lambda k: touched.where((F.col("kind") == k) & F.col("old").isNotNull())
+    old_hash = kind(HASH).select(F.col("node").alias("doc_id"), F.col("old").alias("accepted_id")).distinct()
+    same = kind(WORDS).select(F.col("node").alias("a"), F.col("old").alias("b")).distinct()
+    met = written(kind(BLOCK).select(F.col("node").alias("a"), F.col("old").alias("b")).distinct().join(same, ["a", "b"], "left_anti"), "met")
     close_old = near_prints(history.joined(met, "b", "lanes").withColumnRenamed("lanes", "lb").join(nodes.toDF("a", "la"), "a"))
     # and with each other
-    rest = written(_open_blocks(docs.where("blocks is not null").select(F.explode("blocks").alias("key"), "node", "ord", F.lit(False).alias("dead"))), "blocks")
+    members = touched.where((F.col("kind") == BLOCK) & (F.col("n") > 1)).select("key", "node", F.lit(False).alias("dead"), F.col("n").alias("_n")).distinct()
+    rest = written(members.join(docs.select("node", "doc_id", "ord").where("node = doc_id").drop("doc_id"), "node"), "blocks")
     most, largest = HUBS, rest.agg(F.max("_n")).first()[0] or 0
     close = written(close_old.withColumn("old", F.lit(True)).union(_close(_meetings(rest, most)[0], nodes).withColumn("old", F.lit(False))), "close")
     stored = history.joined(written(close.where("old").select(F.col("b").alias("node")).distinct(), "asked"), "node", "text")
@@ -318,8 +354,11 @@ def check_batch(documents: DataFrame, history: History) -> tuple[DataFrame, Data
     edges = overlapping(close.select("a", "b"), texts.unionByName(stored)).join(close, ["a", "b"])
     edges = written(edges.union(same.withColumn("old", F.lit(True))), "edges")
     old_edges, edges, tested = edges.where("old").select("a", "b"), edges.where("not old").select("a", "b"), close.where("not old").select("a", "b")
-    known = docs.join(old_edges.select(F.col("a").alias("node")).distinct().withColumn("_t", F.lit(True)), "node", "left").join(old_hash.select("doc_id").distinct().withColumn("_h", F.lit(True)), "doc_id", "left")
-    states = known.select("doc_id", "ord", "hkey", "node", F.when(F.coalesce("_t", "_h", F.lit(False)), "R").otherwise("U").alias("state"))
+    twins = touched.where((F.col("kind") == HASH) & (F.col("n") > 1)).select("node").union(copies.select("node")).distinct()
+    known = docs.join(sized(written(old_edges.select(F.col("a").alias("node")).distinct(), "near")).withColumn("_t", F.lit(True)), "node", "left")
+    known = known.join(sized(written(old_hash.select("doc_id").distinct(), "same")).withColumn("_h", F.lit(True)), "doc_id", "left")
+    known = known.join(sized(written(twins, "twins")).select(F.col("node").alias("doc_id"), F.lit(True).alias("_w")), "doc_id", "left")
+    states = written(known.select("doc_id", "ord", "hkey", "node", F.when(F.coalesce("_t", "_h", F.lit(False)), "R").otherwise("U").alias("state"), F.coalesce("_w", F.lit(False)).alias("twin")), "known")
     while largest > most:  # blocks with members that have not met yet
         rest = written(_open_blocks(_meetings(rest, most)[1].drop("_n")), "rest")
         live = resolve(states, edges, rest).where("state <> 'R'").select("node").distinct().withColumn("_live", F.lit(True))
@@ -333,11 +372,11 @@ def check_batch(documents: DataFrame, history: History) -> tuple[DataFrame, Data
     both = edges.union(edges.select("b", "a")).toDF("node", "other")
     by_hash = rejected.join(accepted.where("hkey is not null").select("hkey", F.col("doc_id").alias("accepted_id"), F.col("ord").alias("_before")), "hkey").where("_before < ord").select("doc_id", "accepted_id")
     holders = accepted.select(F.col("node").alias("other"), F.col("doc_id").alias("accepted_id"), F.col("ord").alias("_before"))
-    links = both.union(docs.select("node", F.col("node").alias("other")).distinct())
+    links = both.union(docs.where("node = doc_id").select("node", F.col("node").alias("other")))
     by_text = rejected.join(links, "node").join(holders, "other").where("_before < ord").select("doc_id", "accepted_id")
     old_text = docs.select("doc_id", "node").join(old_edges.select(F.col("a").alias("node"), F.col("b").alias("accepted_id")), "node").select("doc_id", "accepted_id")
     pairs = by_hash.union(by_text).union(old_hash).union(old_text).distinct()
-    return pairs, states.select("doc_id", "state"), prints
+    return Checked(pairs, states.select("doc_id", "node", "state"), prints, keys)
 
 
 def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -347,23 +386,40 @@ def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def accept(documents: DataFrame, history: History) -> DataFrame:
     """Checks a new batch against the history and appends what is accepted to it; (doc_id, accepted_id) of the rejected ones."""
-    pairs, states, prints = check_batch(documents, history)
-    pairs = written(pairs, "pairs")
-    new = states.where("state = 'A'").select("doc_id")
-    texts = documents.select(F.col("doc_id").cast("bigint").alias("node"), "text").join(new.withColumnRenamed("doc_id", "node"), "node", "left_semi")
-    history.append(prints.join(new, "doc_id", "left_semi"), texts)
+    found = check_batch(documents, history)
+    pairs = written(found.pairs, "pairs")
+    new = written(found.states.where("state = 'A'").select("doc_id", "node"), "accepted")
+    ids, later = sized(new.select("doc_id")), sized(new.where("doc_id <> node").select("doc_id"))
+    # an accepted document whose words an earlier, rejected one had first
+    keys = found.keys.join(ids.withColumnRenamed("doc_id", "node"), "node", "left_semi").unionByName(document_keys(found.prints.join(later, "doc_id", "left_semi"), (WORDS, BLOCK)))
+    lanes = found.prints.where("lanes is not null").select("doc_id", "lanes").join(ids, "doc_id", "left_semi")
+    history.append(keys, lanes, documents.select(F.col("doc_id").cast("bigint"), "text").join(ids, "doc_id", "left_semi"))
     return pairs
 
 
+def loads(batches: list, first: int = FIRST_LOAD) -> list[list]:
+    """The batches of a backlog in loads that double: each takes as many as the store then holds, so that n batches need log n loads and
+    all lookups together read the store about twice. A batch that arrives later is a load of its own."""
+    out: list[list] = []
+    while batches:
+        n = max(first, sum(map(len, out)))
+        out, batches = [*out, batches[:n]], batches[n:]
+    return out
+
+
 def repeats(documents: DataFrame, history: History | None = None) -> DataFrame:
     """(doc_id_a, doc_id_b) of each rejected document and the accepted one it repeats, smaller id first.
 
-    One batch after the other goes through the store, as when it arrives; each reads its own rows only, which a table partitioned by
-    batch_no finds by its folders. Null batch numbers come first."""
+    The table is a backlog of batches: loads() of them go through the store one after the other, each checked against what was
+    accepted before and within itself in order of arrival. A load reads its own rows only, which a table partitioned by batch_no finds by
+    its folders. Null batch numbers come first. The result does not depend on the loads."""
     spark = documents.sparkSession
     store = history or History(spark, new_path(spark, "history"))
     batches = sorted((r[0] for r in documents.select("batch_no").distinct().collect()), key=lambda b: (b is not None, b))
-    found = [accept(documents.where(F.col("batch_no").eqNullSafe(F.lit(b))), store) for b in batches]
+    found = []
+    for load in loads(batches):
+        own = F.col("batch_no").isin([b for b in load if b is not None])
+        found.append(accept(documents.where(own | F.col("batch_no").isNull() if None in load else own), store))
     if history is None:
         store.close()
     none = spark.createDataFrame([], "doc_id bigint, accepted_id bigint")
