@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import dropped, written
+from leafmill.llm.common import sized, written
 
 SHINGLE, OVERLAP = 5, 0.8
 
@@ -108,61 +108,54 @@ def first_hashes(s: np.ndarray) -> np.ndarray:
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        open_, texts, trusted = [], [], []
-        for t in batch.column(1).to_pylist():
-            open_.append(open_placeholder(t))
-            m = masked(t)
-            texts.append(m)
-            trusted.append(trusted_residue(m))
-        keys = [xxhash.xxh3_64_intdigest(m) - (1 << 63) for m in texts]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(open_, pa.bool_()), pa.array(trusted, pa.bool_()), pa.array(keys, pa.int64()), pa.array(texts, pa.string())], ["id", "open", "trusted", "node", "m"])
-
-
-def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [shingle_hashes(m) for m in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.array([first_hashes(s) for s in sets], pa.list_(pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary())],
-            ["node", "trusted", "size", "keys", "s"],
-        )
+        texts = batch.column(1).to_pylist()
+        masks = [masked(t) for t in texts]
+        sets = [shingle_hashes(m) for m in masks]
+        columns = [
+            batch.column(0), pa.array([open_placeholder(t) for t in texts], pa.bool_()), pa.array([trusted_residue(m) for m in masks], pa.bool_()), pa.array([xxhash.xxh3_128_hexdigest(m) for m in masks], pa.string()),
+            pa.array(masks, pa.string()), pa.array([len(s) for s in sets], pa.int32()), pa.array([first_hashes(s) for s in sets], pa.list_(pa.int64())),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "open", "trusted", "node", "m", "size", "keys"])
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        known: dict[str, np.ndarray] = {}
         keep = []
-        for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        for texts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            x, y = (known[t] if t in known else known.setdefault(t, shingle_hashes(t)) for t in texts)
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(both >= OVERLAP * (len(x) + len(y) - both))
         yield pa.RecordBatch.from_arrays([batch.column(0)], ["node"]).filter(pa.array(keep, pa.bool_()))
 
 
 def residue_rows(rows: DataFrame, id_col: str = "id", text_col: str = "summary_text") -> DataFrame:
-    """(id, kind) of the rows to leave out; kind is placeholder or residue.
+    """(id, kind) of the rows to leave out; kind is placeholder, residue (by rule) or near (by its likeness to residue).
 
     Null and blank texts are none; every other row is judged by its own text, repeated rows alike; other columns are ignored. Texts that
     differ in digits, case and spaces only are one node, so copies are never compared. Labels spread from the trusted nodes: each round
-    compares the newly labelled nodes with the unlabelled ones that share one of their first hashes and are of a like size, until no node
-    is added; no pair that overlaps by OVERLAP is missed. Comparisons are those of new labels with unlabelled nodes, each made once; real texts are never compared with each other."""
+    looks up the first hashes of the newly labelled nodes among all others, which stay where they are as long as the labelled are few,
+    and compares texts of like size, until no node is added; no pair that overlaps by OVERLAP is missed. Comparisons are those of new
+    labels with unlabelled nodes, each made once; real texts are never compared with each other."""
     spark = rows.sparkSession
     kind = dict(rows.dtypes)[id_col]
     texts = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(r"t rlike '\\S'")
-    judged = written(texts.mapInArrow(_judged, f"id {kind}, open boolean, trusted boolean, node bigint, m string"), "judged")
-    nodes = judged.where("not open").groupBy("node").agg(F.bool_or("trusted").alias("trusted"), F.first("m").alias("m"))
-    nodes = written(nodes.select("node", "trusted", "m").mapInArrow(_printed, "node bigint, trusted boolean, size int, keys array<bigint>, s binary"), "prints")
-    new = nodes.where("trusted").select("node")
-    labelled = written(new, "labelled")
-    new = labelled
-    keyed = nodes.select("node", "size", F.explode("keys").alias("key"))
-    while True:
-        seeds = keyed.join(new, "node", "left_semi").select("key", F.col("node").alias("seed"), F.col("size").alias("n"))
-        others = keyed.join(labelled, "node", "left_anti")
-        pairs = others.join(seeds, "key").where(F.least("size", "n") >= OVERLAP * F.greatest("size", "n") - 1e-9).select("node", "seed").distinct()
-        close = pairs.join(nodes.select("node", F.col("s").alias("x")), "node").join(nodes.select(F.col("node").alias("seed"), F.col("s").alias("y")), "seed").select("node", "x", "y")
-        new = written(close.mapInArrow(_compared, "node bigint").distinct(), "new")
-        if new.isEmpty():
-            break
-        old, labelled = labelled, written(labelled.union(new), "labelled")
-        dropped(spark, old)
-    found = judged.where("open").select("id", F.lit("placeholder").alias("kind"))
-    return found.union(judged.where("not open").join(labelled, "node", "left_semi").select("id", F.lit("residue").alias("kind"))).withColumnRenamed("id", id_col)
+    judged = written(texts.mapInArrow(_judged, f"id {kind}, open boolean, trusted boolean, node string, m string, size int, keys array<bigint>"), "judged")
+    closed = judged.where("not open")
+    columns = ["node", "m", "size", "keys"]
+    once = lambda df: df.groupBy("node").agg(*(F.first(c).alias(c) for c in columns[1:]))
+    new = written(once(closed.where("trusted").select(*columns)), "trusted")
+    labelled, first = new.select("node"), True
+    keyed = closed.where("not trusted").select("node", "size", F.explode("keys").alias("key"))
+    while not new.isEmpty():
+        seeds = written(new.select(F.col("node").alias("seed"), F.col("size").alias("n"), F.explode("keys").alias("key")), "seeds")
+        pairs = keyed.join(sized(seeds), "key").where(F.least("size", "n") >= OVERLAP * F.greatest("size", "n") - 1e-9).select("node", "seed").distinct()
+        pairs = written(pairs if first else pairs.join(labelled, "node", "left_anti"), "pairs")
+        met = written(once(closed.join(sized(written(pairs.select("node").distinct(), "met")), "node", "left_semi").select(*columns)), "near")
+        close = pairs.join(met.select("node", F.col("m").alias("x")), "node").join(new.select(F.col("node").alias("seed"), F.col("m").alias("y")), "seed").select("node", "x", "y")
+        near = written(close.mapInArrow(_compared, "node string").distinct(), "new")
+        new, first = met.join(near, "node", "left_semi"), False
+        labelled = labelled.union(near)
+    found = judged.where("open").select("id", F.lit("placeholder").alias("kind")).union(closed.where("trusted").select("id", F.lit("residue").alias("kind")))
+    added = labelled.join(judged.where("trusted").select("node").distinct(), "node", "left_anti")
+    return found.union(closed.join(added, "node", "left_semi").select("id", F.lit("near").alias("kind"))).withColumnRenamed("id", id_col)

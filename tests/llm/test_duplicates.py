@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from leafmill.llm import common, history, residue, shared_spans
 
@@ -46,9 +47,12 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, batch_no int, hash string, text string, filename string")
 
 
-def test_repeats_equal_the_sequential_rule(spark):
+def test_repeats_equal_the_sequential_rule(spark, monkeypatch):
     rows = corpus()
-    assert {tuple(r) for r in history.repeats(frame(spark, rows)).collect()} == brute(rows)
+    for first in (1, 4):
+        monkeypatch.setattr(history.loads, "__defaults__", (first,))
+        assert {tuple(r) for r in history.repeats(frame(spark, rows)).collect()} == brute(rows)
+    assert history.loads([1, 2, 3, 4, 5, 6], 1) == [[1], [2], [3, 4], [5, 6]]
     assert history.repeats(frame(spark, rows).limit(0)).collect() == []
 
 
@@ -138,7 +142,9 @@ def shared_brute(texts, span):
     return out
 
 
-def test_shared_spans(spark):
+@pytest.mark.parametrize("most", [0, 1 << 40])
+def test_shared_spans(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "MOST_BYTES", most)
     rnd = random.Random(8)
     make = lambda n: "".join(rnd.choice("abcdé \n📄") for _ in range(n))
     passages = [make(n) for n in (29, 30, 31, 45, 120)]
@@ -173,11 +179,18 @@ def test_residue(spark):
     assert residue.residue_rows(df.limit(0)).collect() == []
 
 
-def test_labels_spread_over_near_duplicates(spark):
-    filler = "please enable javascript to view this page. " * 9
-    rows = [(1, filler), (2, filler + "contact desk"), (3, "A quarterly report on the credit desk and on what its owners agreed in the spring."), (4, filler.upper())]
-    got = {r["id"] for r in residue.residue_rows(spark.createDataFrame(rows, "id long, summary_text string")).collect()}
-    assert {1, 4} <= got and 3 not in got
+def test_labels_spread_over_near_duplicates(spark, monkeypatch):
+    rnd = random.Random(3)
+    steps = [" ".join(rnd.choice(sorted(residue.FILLER_WORDS)) for _ in range(60))]
+    for i in range(3):  # each further from the trusted text, and near the one before
+        steps.append(steps[-1] + "".join(f" strange{'abc'[i]}{'bcdfghjk'[j]}" for j in range(8)))
+    assert [residue.trusted_residue(t) for t in steps] == [True, False, False, False]
+    other = "A quarterly report on the credit desk and on what its owners agreed in the spring."
+    rows = [(1, "lorem ipsum dolor sit amet " * 9)] + [(10 + i, t) for i, t in enumerate(steps)] + [(20, steps[2].upper()), (30, other), (31, other), (32, None)]
+    for most in (0, 1 << 40):
+        monkeypatch.setattr(common, "MOST_BYTES", most)
+        got = {r["id"]: r["kind"] for r in residue.residue_rows(spark.createDataFrame(rows, "id long, summary_text string")).collect()}
+        assert got == {1: "residue", 10: "residue", 11: "near", 12: "near", 13: "near", 20: "near"}
 
 
 def test_labels_reach_every_text_that_overlaps_enough(spark):
@@ -192,5 +205,5 @@ def test_labels_reach_every_text_that_overlaps_enough(spark):
         x, y = ({tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (known, known + added))
         rows += [(i, " ".join(known)), (100 + i, variant)]
         want |= {i} | ({100 + i} if len(x & y) >= 0.8 * len(x | y) else set())
-    got = {r["id"] for r in residue.residue_rows(spark.createDataFrame(rows, "id long, summary_text string")).collect()}
-    assert got == want and 80 < len(want) < 120
+    got = {r["id"]: r["kind"] for r in residue.residue_rows(spark.createDataFrame(rows, "id long, summary_text string")).collect()}
+    assert set(got) == want and 80 < len(want) < 120 and sum(k == "near" for k in got.values()) == len(want) - 60
