@@ -25,12 +25,17 @@ def rrf(hits: DataFrame, keys: list[str], extra: list[str] = []) -> DataFrame:
     return fused.withColumn("rrf_rank", F.row_number().over(w)).select("query_id", *keys, "rrf", "rrf_rank", "_rep.*")
 
 
-def rrf_by_text(hits: DataFrame, text: str = "text", prefix: int = 120) -> DataFrame:
-    """Fusion keyed by the first characters of the text; represented by the last vector hit, else the first keyword hit with score 0."""
-    h = hits.withColumn("_key", F.substring(text, 1, prefix))
+def rrf_by_text(hits: DataFrame, text: str = "text", prefix: int = 120, extra: list[str] = []) -> DataFrame:
+    """Fusion keyed by the first characters of the text: (query_id, prefix, text, *extra, score, place).
+
+    hits: (query_id, is_vec, rank, text). Represented by the last vector hit, else by the first keyword hit. score is the sum of
+    1 / (60 + rank), to six places; place the order by the sum, ties by first appearance, vector hits first."""
+    h = hits.withColumn("prefix", F.substring(text, 1, prefix))
     rep = F.struct(F.col("is_vec"), F.when(F.col("is_vec"), F.col("rank")).otherwise(-F.col("rank")).alias("o"))
-    out = h.groupBy("query_id", "_key").agg(F.round(F.sum(1.0 / (RRF_K + F.col("rank"))), 6).alias("rrf"), F.max_by(F.struct(F.col(text).alias("text"), F.when(F.col("is_vec"), F.col("score")).otherwise(0.0).alias("score")), rep).alias("_rep"))
-    return out.select("query_id", F.col("_key").alias("key"), "rrf", "_rep.*")
+    out = h.groupBy("query_id", "prefix").agg(F.sum(1.0 / (RRF_K + F.col("rank"))).alias("_sum"), F.min(F.struct(~F.col("is_vec"), "rank")).alias("_first"), F.max_by(F.struct(text, *extra), rep).alias("_rep"))
+    # the sum's last digits depend on the order of adding, so that equal sums are told by twelve places
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("_sum", 12)), "_first"))
+    return out.select("query_id", "prefix", "_rep.*", F.round("_sum", 6).alias("score"), place.alias("place"))
 
 
 def quota(hits: DataFrame, k: int, hard: float = 0.25, soft: float = 0.15, doc: str = "doc") -> DataFrame:

@@ -31,24 +31,23 @@ def _unit(m: np.ndarray) -> np.ndarray:
 def vector_topk(items: DataFrame, questions: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", where: Column | None = None) -> DataFrame:
     """(query_id, key, score, rank): the k items of highest cosine for each question (query_id, vector), rounded to 6 places.
 
-    Questions are a stated, small set: blocks of them of at most MOST_BYTES are sent to the workers one after the other; each task keeps
+    Questions are a stated, small set: blocks of them of about MOST_BYTES are sent to the workers one after the other; each task keeps
     its own k best of a question, so the shuffle carries k rows per task and question. `where` filters items before they are scored.
-    Ties go to the lower key; null vectors and vectors of another length are left out."""
-    if where is not None:
-        items = items.where(where)
+    Ties go to the lower key; null vectors, and vectors of another length than the longest item, are left out."""
+    items = items.where(F.col(vector).isNotNull() if where is None else where & F.col(vector).isNotNull())
     spark, kind = items.sparkSession, dict(items.dtypes)[key]
-    rows = questions.select("query_id", "vector").where("vector is not null").toLocalIterator()
-    blocks, block, size = [], [], 0
-    for r in rows:
-        block.append((r["query_id"], r["vector"]))
-        size += 8 * len(r["vector"])
-        if size > MOST_BYTES:
-            blocks.append(block)
-            block, size = [], 0
+    asked = questions.select("query_id", "vector").where("vector is not null")
+    dim = items.select(F.max(F.size(vector))).first()[0] or 0
+    asked = asked.where(F.size("vector") == dim)
+    most = max(1, MOST_BYTES // (8 * max(dim, 1)))
+    # blocks are read one at a time, each by its own part of the questions
+    n = max(1, -(-asked.count() // most))
+    parts = [asked] if n == 1 else [asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)]
     out = None
-    for block in [*blocks, block] if block or not blocks else blocks:
-        ids, dim = np.array([i for i, _ in block], np.int64), max((len(v) for _, v in block), default=0)
-        m = np.array([v for _, v in block if len(v) == dim], np.float64).reshape(-1, dim)
+    for part in parts:
+        block = part.collect()
+        ids = np.array([r["query_id"] for r in block], np.int64)
+        m = np.array([r["vector"] for r in block], np.float64).reshape(-1, dim)
         sent = spark.sparkContext.broadcast((ids, _unit(m), dim))
 
         def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -80,8 +79,8 @@ def vector_topk(items: DataFrame, questions: DataFrame, k: int, key: str = "vec_
             top = [(i, x, -s) for i, l in by.items() for s, x in sorted(l)[:k]]
             yield pa.RecordBatch.from_arrays([pa.array([t[0] for t in top], pa.int64()), pa.array([t[1] for t in top], pa.int64()), pa.array([t[2] for t in top], pa.float64())], ["query_id", "key", "score"])
 
-        part = items.select(F.col(key).cast("bigint"), vector).mapInArrow(best, "query_id bigint, key bigint, score double")
-        out = part if out is None else out.union(part)
+        found = items.select(F.col(key).cast("bigint"), vector).mapInArrow(best, "query_id bigint, key bigint, score double")
+        out = found if out is None else out.union(found)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("key", F.col("key").cast(kind))
 

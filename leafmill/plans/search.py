@@ -1,7 +1,7 @@
 """Retrieval queries: keyword, vector and hybrid search and what follows them.
 
-Questions are the documents whose id is divisible by 50 and that have a vector: their first line is the question, their vector the
-question's vector. A document's key is (source, doc_id)."""
+Questions are the documents whose id is divisible by 50, by their whole text, with their vector where they have one (keyword searches
+need none). A document's key is (source, doc_id)."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
-from leafmill.operators import context, fusion, lexical
+from leafmill.operators import context, fusion, lexical, routing
 from leafmill.operators.vector import cosine, hash_embed, vector_topk
 
 TOP_K, HARD, SOFT = 8, 0.25, 0.15
@@ -24,8 +24,8 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d).where("doc_id % 50 = 0").join(_t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id")
-    return docs.select(F.col("doc_id").alias("query_id"), F.regexp_extract("text", r"^([^\n]*)", 1).alias("query"), "vector")
+    docs = _docs(spark, d).where("doc_id % 50 = 0").join(_t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id", "left")
+    return docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"), "vector")
 
 
 def _vectors(spark: SparkSession, d: str, parity: int | None = None) -> DataFrame:
@@ -52,12 +52,32 @@ def bm25_corpus_stats(spark: SparkSession, d: str) -> DataFrame:
     return size.select("n", F.round("avgdl", 6).alias("avgdl"), F.round("mean_idf", 6).alias("mean_idf"))
 
 
-def bm25_union_corpus(spark: SparkSession, d: str) -> DataFrame:
-    """Raw pages and chunks as one corpus: its postings by length of document."""
+def _union(spark: SparkSession, d: str) -> DataFrame:
+    """Raw pages and chunks as one corpus."""
     pages = _t(spark, d, "pages").where("length(raw_text) > 0").select(F.concat(F.lit("p"), F.col("id")).alias("k"), F.col("raw_text").alias("text"))
     chunks = _t(spark, d, "document_chunks").where("length(text) > 0").select(F.concat(F.lit("c"), F.col("id")).alias("k"), "text")
-    posts = lexical.postings(pages.unionByName(chunks), "k", "text")
-    return posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where("df >= 20")
+    return pages.unionByName(chunks)
+
+
+def bm25_union_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """The best of pages and chunks together for each question."""
+    posts = lexical.postings(_union(spark, d), "k", "text").persist()
+    return lexical.bm25(posts, _questions(spark, d), 10)
+
+
+def bm25_summary_prefix(spark: SparkSession, d: str) -> DataFrame:
+    """Pages that hold tables are searched with their summary put before their text; questions are the glossary's terms."""
+    s = _t(spark, d, "page_summaries").where("doc_id is not null and page_num is not null and summary_text is not null").groupBy("doc_id", "page_num").agg(F.min_by("summary_text", "id").alias("s"))
+    p = _t(spark, d, "pages").where("length(raw_text) > 0").join(s, ["doc_id", "page_num"], "left").withColumn("s", F.when(F.coalesce("has_tables", F.lit(False)), F.col("s")))
+    q = _t(spark, d, "glossary").where("term is not null").select(F.col("term_id").cast("bigint").alias("query_id"), F.col("term").alias("query"))
+    return lexical.bm25(lexical.postings(p, "id", "raw_text", prefix="s").persist(), q, 5).withColumnRenamed("key", "id")
+
+
+def bm25_post_filter(spark: SparkSession, d: str) -> DataFrame:
+    """A filter by source is applied behind the cut to the best, so that fewer may remain."""
+    q = _questions(spark, d).join(_docs(spark, d).select(F.col("doc_id").alias("query_id"), F.col("source").alias("wanted")), "query_id")
+    top = lexical.bm25(_posts(spark, d), q, 50).withColumnRenamed("key", "doc_id")
+    return top.join(_docs(spark, d).select("doc_id", "source"), "doc_id").join(q.select("query_id", "wanted"), "query_id").where("source = wanted").select("query_id", "doc_id", "score", "rank")
 
 
 def vector_query(spark: SparkSession, d: str) -> DataFrame:
@@ -193,22 +213,13 @@ def alias_words(spark: SparkSession, d: str) -> DataFrame:
     from leafmill.operators.catalog import latest
 
     first = latest(_t(spark, d, "search_results").where("filename <> ''"), ["filename"], [F.asc("result_id")])
-    stem = F.lower(F.regexp_replace("filename", r"\.[^.]*$", ""))
-    text = F.coalesce("summary_text", F.lit(""))
-    stop = F.array(*(F.lit(s) for s in T.ALIAS_STOPWORDS))
-    acronyms = F.transform(F.regexp_extract_all(text, F.lit(r"\b[A-Z]{2,}\b"), 0), lambda x: F.lower(x))
-    plain = F.array_union(F.regexp_extract_all(stem, F.lit("[a-z]{4,}"), 0), F.regexp_extract_all(F.lower(text), F.lit(r"\b[a-z]{5,}\b"), 0))
-    return first.select("filename", F.explode(F.array_union(acronyms, F.array_except(plain, stop))).alias("alias"))
+    return routing.aliases(first, "summary_text")
 
 
 def detect_source(spark: SparkSession, d: str) -> DataFrame:
     """The file that shares most words (two at least) with a question; the questions are summaries with an id divisible by 50."""
-    from pyspark.sql import Window
-
-    q = _t(spark, d, "page_summaries").where("id % 50 = 0 and summary_text is not null").select(F.col("id").alias("query_id"), F.col("summary_text").alias("q"))
-    found = F.array_distinct(F.array_union(F.transform(F.regexp_extract_all("q", F.lit(r"\b[A-Z]{2,}\b"), 0), lambda x: F.lower(x)), F.regexp_extract_all(F.lower("q"), F.lit("[a-z]{4,}"), 0)))
-    hits = q.select("query_id", F.explode(found).alias("alias")).join(alias_words(spark, d), "alias").groupBy("query_id", "filename").agg(F.count("*").alias("shared")).where("shared >= 2")
-    return hits.withColumn("_rn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("shared"), "filename"))).where("_rn = 1").drop("_rn")
+    q = _t(spark, d, "page_summaries").where("id % 50 = 0 and summary_text is not null").select(F.col("id").alias("query_id"), F.col("summary_text").alias("query"))
+    return routing.detect(q, alias_words(spark, d))
 
 
 def same_doc_guard(spark: SparkSession, d: str) -> DataFrame:
@@ -227,12 +238,12 @@ def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = [
-    bm25_topk, bm25_unicode_topk, bm25_corpus_stats, bm25_union_corpus, vector_threshold, vector_filtered, rrf_lists, hybrid_search, quota_diversity, mmr_select, recency_bias, table_boost,
+    bm25_topk, bm25_unicode_topk, bm25_corpus_stats, bm25_union_corpus, bm25_summary_prefix, bm25_post_filter, vector_threshold, vector_filtered, rrf_lists, hybrid_search, quota_diversity, mmr_select, recency_bias, table_boost,
     roundrobin_interleave, dedup_prefix, multi_topic_merge, neighbour_expand, context_tokens, context_sources, budget_drop_buffers, budget_truncate, prompt_pages, alias_words, detect_source, same_doc_guard, cosine_pairs,
 ]
 
 _DOCS = "docs AS (SELECT doc_id, coalesce(source, '') AS source, text, filename FROM documents WHERE length(text) > 0)"
-_Q = "q AS (SELECT d.doc_id AS query_id, regexp_extract(d.text, '^([^\\n]*)', 1) AS query, e.embedding AS vector FROM docs d JOIN embeddings e ON e.vec_id = d.doc_id WHERE d.doc_id % 50 = 0)"
+_Q = "q AS (SELECT d.doc_id AS query_id, d.text AS query, e.embedding AS vector FROM docs d LEFT JOIN embeddings e ON e.vec_id = d.doc_id WHERE d.doc_id % 50 = 0)"
 
 
 def _bm25(tok: str, k: int) -> str:
@@ -252,7 +263,7 @@ bm AS (SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (P
 def _vec(name: str, k: int, where: str = "true") -> str:
     return f"""
 {name} AS (SELECT query_id, vec_id, score, rank FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM
-  (SELECT q.query_id, e.vec_id, round(list_cosine_similarity(q.vector::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM q, embeddings e WHERE {where})) WHERE rank <= {k})"""
+  (SELECT q.query_id, e.vec_id, round(list_cosine_similarity(q.vector::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM q, embeddings e WHERE q.vector IS NOT NULL AND {where})) WHERE rank <= {k})"""
 
 
 _LISTS = f"""{_DOCS}, {_Q}, {_bm25('[a-z0-9]+', 40)}, {_vec('v0', 40, 'e.vec_id % 2 = 0')}, {_vec('v1', 40, 'e.vec_id % 2 = 1')},
@@ -301,8 +312,12 @@ SQL = {
     "bm25_topk": f"WITH {_DOCS}, {_Q}, {_bm25('[a-z0-9]+', 10)} SELECT * FROM bm",
     "bm25_unicode_topk": f"WITH {_DOCS}, {_Q}, {_bm25(r'[\p{L}\p{N}_]+', 10)} SELECT * FROM bm",
     "bm25_corpus_stats": f"WITH {_DOCS}, {_Q}, {_bm25('[a-z0-9]+', 10)} SELECT n, round(avgdl, 6) AS avgdl, round(mean_idf, 6) AS mean_idf FROM st, mean",
-    "bm25_union_corpus": """WITH c AS (SELECT 'p' || id AS k, raw_text AS t FROM pages WHERE length(raw_text) > 0 UNION ALL SELECT 'c' || id, text FROM document_chunks WHERE length(text) > 0),
-        w AS (SELECT k, unnest(regexp_extract_all(lower(t), '[a-z0-9]+')) AS term FROM c) SELECT term, count(DISTINCT k) AS df, count(*) AS cf FROM w GROUP BY term HAVING df >= 20""",
+    "bm25_union_corpus": "WITH " + _DOCS.replace("docs AS", "dd AS") + ", " + _Q.replace("docs d", "dd d") + f""", docs AS (SELECT 'p' || id AS doc_id, raw_text AS text FROM pages WHERE length(raw_text) > 0 UNION ALL SELECT 'c' || id, text FROM document_chunks WHERE length(text) > 0),
+        {_bm25('[a-z0-9]+', 10)} SELECT query_id, doc_id AS key, score, rank FROM bm""",
+    "bm25_summary_prefix": f"""WITH s AS (SELECT doc_id, page_num, arg_min(summary_text, id) AS s FROM page_summaries WHERE doc_id IS NOT NULL AND page_num IS NOT NULL AND summary_text IS NOT NULL GROUP BY ALL),
+        docs AS (SELECT p.id AS doc_id, concat_ws(' ', CASE WHEN p.has_tables THEN nullif(s.s, '') END, p.raw_text) AS text FROM pages p LEFT JOIN s ON s.doc_id = p.doc_id AND s.page_num = p.page_num WHERE length(raw_text) > 0),
+        q AS (SELECT term_id AS query_id, term AS query FROM glossary WHERE term IS NOT NULL), {_bm25('[a-z0-9]+', 5)} SELECT query_id, doc_id AS id, score, rank FROM bm""",
+    "bm25_post_filter": f"WITH {_DOCS}, {_Q}, {_bm25('[a-z0-9]+', 50)} SELECT query_id, doc_id, score, rank FROM bm JOIN docs USING (doc_id) JOIN (SELECT doc_id AS query_id, source AS wanted FROM docs) USING (query_id) WHERE source = wanted",
     "vector_topk": f"WITH {_DOCS}, {_Q}, {_vec('v', 10)} SELECT * FROM v",
     "vector_threshold": f"WITH {_DOCS}, {_Q}, {_vec('v', 10)} SELECT query_id, vec_id, round(score, 4) AS score, rank FROM v WHERE round(score, 4) >= 0.25",
     "vector_filtered": f"WITH {_DOCS}, {_Q}, {_vec('v', 5, 'e.label = 3')} SELECT * FROM v",
