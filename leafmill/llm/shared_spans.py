@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import components, sized, written
+from leafmill.llm.common import components, dropped, sized, written
 
 _MULT = 0xD6E8FEB86659FD93
 _INV = pow(_MULT, -1, 1 << 64)
@@ -86,7 +86,10 @@ def anchors(text: str, span: int, anchor: int) -> tuple[np.ndarray, ...]:
     left[ok] = r.spans(p[ok] - half, p[ok])
     ok = end + span >= p + anchor + half
     right[ok] = r.spans(p[ok] + anchor, p[ok] + anchor + half)
-    return h[p], p, start, end, r.spans(start, end + span), left, right
+    data = memoryview(text.encode("utf-32-le", "surrogatepass"))
+    # a hash of another kind than the anchor's, so that texts made for the one do not defeat both
+    around = np.array([xxhash.xxh3_64_intdigest(data[4 * a : 4 * (b + span)]) for a, b in zip(start.tolist(), end.tolist())], np.uint64)
+    return h[p], p, start, end, around, left, right
 
 
 def _leftmost(h: np.ndarray, least: np.ndarray, w: int) -> np.ndarray:
@@ -139,52 +142,54 @@ def window_table(documents: DataFrame, places: DataFrame, span: int) -> DataFram
     return rows.mapInArrow(run, "doc_id bigint, k1 bigint, k2 bigint, at int")
 
 
-def matches(documents: DataFrame, span: int, anchor: int | None = None, documents_only: bool = False) -> DataFrame:
+def matches(documents: DataFrame, span: int, anchor: int | None = None) -> DataFrame:
     """(doc_id, first, last, grp): the windows first..last of `span` characters of a document that also stand in another document.
 
     documents: doc_id (unique) and text; null and shorter texts have no windows; other columns are ignored. grp names what is shared,
     the same for all documents that share it. Groups are only aggregated (least and greatest document), never paired, so a passage
-    that a third of all documents hold costs as much as any other text. With documents_only, every document that shares something has a
-    row but not all of its windows: places of documents that are known to share already are verified only where others depend on it."""
-    anchor = anchor or span // 3
+    that a third of all documents hold costs as much as any other text. Tables are removed as soon as no later step reads them."""
+    spark, anchor = documents.sparkSession, anchor or span // 3
     half = (span - anchor + 1) // 2
     found = written(anchor_table(documents, span, anchor), "anchors")
     two = [F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")]
     # places that meet in two documents
     meet = written(found.groupBy("h").agg(*two).where("_lo < _hi").select("h"), "meet")
     met = written(found.join(sized(meet), "h"), "met")
+    dropped(spark, found, meet)
     # where all that these windows cover is the same in two documents, nothing is left to verify
     same = written(met.groupBy("h", "around").agg(*two).where("_lo < _hi").select("h", "around", F.lit(True).alias("sure")), "same")
-    met = met.join(sized(same), ["h", "around"], "left")
-    sure = met.where("sure").select("doc_id", "first", "last", F.col("around").alias("grp"))
+    met_same = met.join(sized(same), ["h", "around"], "left")
+    sure = written(met_same.where("sure").select("doc_id", "first", "last", F.col("around").alias("grp")), "sure")
     # elsewhere a shared window reaches the half on the left or on the right of its anchor, which must then be shared as well
     halves = [written(met.where(f"{side} <> 0").groupBy("h", side).agg(*two).where("_lo < _hi").select("h", side, F.lit(True).alias(f"by_{side}")), side) for side in ("left", "right")]
-    tried = met.join(sized(halves[0]), ["h", "left"], "left").join(sized(halves[1]), ["h", "right"], "left").where("by_left or by_right")
+    tried = met_same.join(sized(halves[0]), ["h", "left"], "left").join(sized(halves[1]), ["h", "right"], "left").where("by_left or by_right")
     lo = F.when(F.col("by_left"), F.col("first")).otherwise(F.greatest("first", F.col("place") - half + 1))
     hi = F.when(F.col("by_right"), F.col("last")).otherwise(F.least("last", F.col("place") - half + (1 if (span - anchor) % 2 else 0)))
-    tried = tried.select("doc_id", "h", "around", "sure", lo.alias("first"), hi.alias("last")).where("first <= last")
+    tried = written(tried.select("doc_id", "h", "around", "sure", lo.alias("first"), hi.alias("last")).where("first <= last"), "tried")
+    dropped(spark, met, same, *halves)
     unsure = tried.where("sure is null").select("doc_id", "h", "first", "last")
-    unsure = written(unsure, "unsure")
-    if documents_only:
-        known = written(sure.select("doc_id").distinct(), "known")
-        asked = written(unsure.join(sized(known), "doc_id", "left_anti").select("h").distinct(), "asked")
-        tried = tried.join(sized(asked), "h", "left_semi")
-        unsure = written(unsure.join(sized(asked), "h", "left_semi"), "unsure")
     # of the groups that they could match two documents each are enough
     ends = F.struct("doc_id", "first", "last")
     partners = tried.where("sure").join(sized(written(unsure.select("h").distinct(), "open")), "h", "left_semi").groupBy("h", "around").agg(F.min_by(ends, "doc_id").alias("p"), F.max_by(ends, "doc_id").alias("q"))
     partners = partners.select(F.explode(F.array("p", "q")).alias("x")).select("x.*")
     places = unsure.select("doc_id", "first", "last").union(partners).groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("wanted"))
     places = written(places, "places")
+    dropped(spark, tried)
     windows = written(window_table(documents, places, span), "windows")
-    shared = written(windows.groupBy("k1", "k2").agg(*two).where("_lo < _hi").select("k1", "k2"), "shared")
-    edge = windows.join(sized(shared), ["k1", "k2"]).select("doc_id", F.col("at").alias("first"), F.col("at").alias("last"), F.col("k1").alias("grp"))
-    return written(sure.union(edge), "matches")
+    # a window that stands twice is known by its two places; only those that stand more often are looked up again
+    at = [F.min_by("at", F.col("doc_id")).alias("_at_lo"), F.max_by("at", F.col("doc_id")).alias("_at_hi"), F.count("*").alias("_n")]
+    shared = written(windows.groupBy("k1", "k2").agg(*two, *at).where("_lo < _hi"), "shared")
+    twice = shared.where("_n = 2").select(F.explode(F.array(F.struct(F.col("_lo").alias("doc_id"), F.col("_at_lo").alias("at")), F.struct(F.col("_hi").alias("doc_id"), F.col("_at_hi").alias("at")))).alias("x"), "k1").select("x.*", "k1")
+    often = windows.join(sized(shared.where("_n > 2").select("k1", "k2")), ["k1", "k2"]).select("doc_id", "at", "k1")
+    edge = twice.union(often).select("doc_id", F.col("at").alias("first"), F.col("at").alias("last"), F.col("k1").alias("grp"))
+    out = written(sure.union(edge), "matches")
+    dropped(spark, sure, places, windows, shared)
+    return out
 
 
 def sharing_documents(documents: DataFrame, span: int) -> DataFrame:
-    """(doc_id) of the documents with a run of at least `span` characters that also stands in another one."""
-    return matches(documents, span, documents_only=True).select("doc_id").distinct()
+    """(doc_id) of the documents with a run of at least `span` characters that also stands in another one: those of shared_spans()."""
+    return matches(documents, span).select("doc_id").distinct()
 
 
 def shared_spans(documents: DataFrame, span: int) -> DataFrame:

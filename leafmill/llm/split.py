@@ -170,9 +170,7 @@ def piece_texts(ranges: DataFrame, offsets: DataFrame, boundaries: DataFrame, ke
 
     A start inside a word moves on to the next word of the overlap."""
     kind = dict(ranges.dtypes)[key]
-    sizes = boundaries.select("key", "rng", "n_chars")
-    bases = sizes.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rng", "n_chars"))).alias("r"))
-    bases = bases.select("key", F.posexplode(F.expr("transform(r, (x, i) -> struct(x.rng as rng, x.n_chars as n, aggregate(slice(r, 1, i), 0L, (s, y) -> s + y.n_chars) as base))")).alias("_p", "x")).select("key", "x.*")
+    bases = prefix_sums(boundaries.select("key", "rng", F.col("n_chars").alias("n")), ["key"], ["rng"], F.col("n"), "base")
     mine = offsets.join(bases, "key").where("start >= base and start < base + n")
     mine = mine.groupBy("key", "rng").agg(F.first("base").alias("base"), F.collect_list(F.struct("piece_no", "start", "end")).alias("pieces"))
     joined = ranges.withColumnRenamed(key, "key").join(mine, ["key", "rng"]).select("key", "rng", "lo", "body", "base", "pieces")
