@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,9 +12,24 @@ def content_hash(data: Column) -> Column:
     return F.sha2(data, 256)
 
 
+#: The namespace of names that are domains (fixed value).
+NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
+
+
+def uuid5(name: Column, namespace: str = NAMESPACE) -> Column:
+    """The version 5 identifier of a name."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace)), name.cast("binary")))
+    variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+    return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
+
+
 def point_id(*parts: Column) -> Column:
-    """A deterministic id of a key."""
-    return F.md5(F.concat_ws(":", *parts))
+    """A deterministic id of a key; a null part is named None, so that it equals no other."""
+    joined = parts[0]
+    texts = [F.coalesce(p.cast("string"), F.lit("None")) for p in parts]
+    for i, t in enumerate(texts):
+        joined = t if i == 0 else F.concat(joined, F.lit(":"), t)
+    return uuid5(joined)
 
 
 def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -53,3 +70,44 @@ def verdict(new: DataFrame, versions: DataFrame, done: str = "indexed") -> DataF
     named = complete.where("filename is not null").select("filename").distinct().withColumn("_named", F.lit(True))
     out = new.join(same, "hash", "left").join(named, "filename", "left")
     return out.withColumn("verdict", F.when(F.col("_dup"), "duplicate").when(F.col("_named"), "replaced").otherwise("new")).drop("_dup", "_named")
+
+
+def inserted(table: DataFrame, rows: DataFrame, defaults: dict[str, Column]) -> DataFrame:
+    """table with rows appended; columns that a row lacks or leaves null take the defaults, others stay null."""
+    known = [F.coalesce(rows[c], defaults[c]).alias(c) if c in rows.columns and c in defaults else rows[c] if c in rows.columns else defaults.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in table.dtypes]
+    return table.unionByName(rows.select(*known))
+
+
+def with_status(table: DataFrame, changes: DataFrame, at: Column) -> DataFrame:
+    """table (id, status, indexed_at, …) with the status of changes (id, status); indexed_at is set by the status indexed only."""
+    c = changes.select("id", F.col("status").alias("_status"))
+    out = table.join(c, "id", "left")
+    return out.select(*[F.coalesce("_status", "status").alias(x) if x == "status" else F.when(F.col("_status") == "indexed", at).otherwise(F.col("indexed_at")).alias(x) if x == "indexed_at" else F.col(x) for x in table.columns])
+
+
+def cleared(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the empty table, (removed) how many rows went)."""
+    return table.limit(0), table.agg(F.count("*").alias("removed"))
+
+
+def appended(log: DataFrame, rows: DataFrame, keep: int, order: list[Column]) -> DataFrame:
+    """A log with rows added, of which the first `keep` in the given order stay."""
+    return log.unionByName(rows).orderBy(*order).limit(keep)
+
+
+def numbered_after(table: DataFrame, rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with ids that go on after the table's greatest, in the given order."""
+    last = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
+    return rows.withColumn("_n", F.row_number().over(Window.orderBy(*order))).crossJoin(F.broadcast(last)).withColumn("id", F.col("_last") + F.col("_n")).drop("_n", "_last")
+
+
+def chunk_records(chunks: DataFrame) -> DataFrame:
+    """Chunks as they go to the vector store: scalar fields only, none null."""
+    fill = {"page": F.lit(0), "block_type": F.lit("text"), "chunk_index": F.lit(0), "text": F.lit("")}
+    return chunks.select("id", "doc_id", *(F.coalesce(c, v).alias(c) for c, v in fill.items()), F.coalesce(F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"), F.lit("")).alias("created_at"))
+
+
+def reindexed(summaries: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:
+    """(id, doc_id, page_num, point_id, vector, embedded) of all summaries that hold anything, embedded anew; the others lose their flag."""
+    real = F.coalesce(~F.trim("summary_text").isin("", "[Empty page]", "[Summarization failed]"), F.lit(False))
+    return summaries.select("id", "doc_id", "page_num", F.when(real, point_id(F.col("doc_id"), F.col("page_num"))).alias("point_id"), F.when(real, embed(F.col("summary_text"))).alias("vector"), real.alias("embedded"))

@@ -23,7 +23,93 @@ def sha_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def point_ids(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "pages").where("doc_id is not null").select("id", catalog.point_id(F.col("doc_id"), F.col("page_num").cast("string")).alias("point_id"))
+    return _t(spark, d, "pages").select("id", catalog.point_id(F.col("doc_id"), F.col("page_num")).alias("point_id"))
+
+
+def chunk_records(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.chunk_records(_t(spark, d, "document_chunks")).withColumn("text", F.md5("text"))
+
+
+def insert_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that the catalogue lacks, entered with their first state."""
+    v = _t(spark, d, "doc_versions").select("id", "filename", "hash", "status")
+    new = _t(spark, d, "documents").select(F.concat(F.lit("new-"), "doc_id").alias("id"), "filename", "hash")
+    return catalog.inserted(v, new, {"status": F.lit("processing"), "filename": F.lit("unknown")}).groupBy("status").agg(F.count("*").alias("n"), F.count_if(F.col("filename") == "unknown").alias("unknown"), F.count_distinct("hash").alias("hashes"))
+
+
+def status_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """Unfinished versions become indexed or failed by their id; the time is set for the indexed ones."""
+    v = _t(spark, d, "doc_versions").select("id", "status", F.lit(None).cast("string").alias("indexed_at"))
+    changes = v.where("status is null or status not in ('indexed', 'failed')").select("id", F.when(F.substring(F.md5("id"), 1, 1) < "8", "indexed").otherwise("failed").alias("status"))
+    return catalog.with_status(v, changes, F.lit(AS_OF))
+
+
+def clear_all(spark: SparkSession, d: str) -> DataFrame:
+    empty, gone = catalog.cleared(_t(spark, d, "document_chunks"))
+    return gone.crossJoin(empty.agg(F.count("*").alias("left")))
+
+
+def activity_append(spark: SparkSession, d: str) -> DataFrame:
+    """The newest 50 of a log after more came in."""
+    j = _jobs(spark, d).select("event_id", "ts", "outcome")
+    return catalog.appended(j.where("event_id % 3 <> 0"), j.where("event_id % 3 = 0"), 50, [F.desc("ts"), F.desc("event_id")]).select("event_id", "outcome")
+
+
+def message_append(spark: SparkSession, d: str) -> DataFrame:
+    """Glossary terms as new messages behind the stored ones."""
+    new = _t(spark, d, "glossary").select(F.col("term").alias("content"), "term_id")
+    return catalog.numbered_after(_t(spark, d, "session_messages"), new, ["term_id"]).select("id", "content")
+
+
+def reindex_all(spark: SparkSession, d: str) -> DataFrame:
+    from leafmill.operators.vector import hash_embed
+
+    r = catalog.reindexed(_t(spark, d, "page_summaries"), lambda c: hash_embed(c, 16))
+    return r.select("id", "point_id", "embedded", F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"))
+
+
+def listings(spark: SparkSession, d: str) -> DataFrame:
+    """The indexed versions, oldest first and newest first."""
+    from pyspark.sql import Window
+
+    v = _t(spark, d, "doc_versions").where("status = 'indexed'")
+    return v.select("id", F.row_number().over(Window.orderBy(F.asc_nulls_first("ingested_at"), "id")).alias("oldest"), F.row_number().over(Window.orderBy(F.desc_nulls_last("ingested_at"), "id")).alias("newest"))
+
+
+def exists_probe(spark: SparkSession, d: str) -> DataFrame:
+    """Which versions have a chunk at all."""
+    c = _t(spark, d, "document_chunks").select(F.col("doc_id").alias("id"))
+    return _t(spark, d, "doc_versions").select("id").join(c, "id", "left_semi")
+
+
+def session_prune_count(spark: SparkSession, d: str) -> DataFrame:
+    s = _t(spark, d, "sessions")
+    return sessions.stale(s, F.lit(AS_OF).cast("timestamp_ntz"), 30).agg(F.count("*").alias("removed"))
+
+
+def role_check(spark: SparkSession, d: str) -> DataFrame:
+    """What a session asks for that is not known: set minus, as for unknown permissions."""
+    m = _t(spark, d, "session_messages").where("session_id is not null").groupBy("session_id").agg(F.collect_set(F.lower("role")).alias("r"))
+    x = F.array_sort(F.array_except("r", F.array(*(F.lit(v) for v in ("user", "assistant", "system", "human", "bot", "ai")))))
+    return m.where(F.size(x) > 0).select("session_id", F.array_join(x, ",").alias("unknown"))
+
+
+def totals(spark: SparkSession, d: str) -> DataFrame:
+    """Both generations together: chunks and documents of each, summed; active keys are users seen in the last day of events."""
+    one = _t(spark, d, "document_chunks").agg(F.count("*").alias("chunks"), F.count_distinct("doc_id").alias("documents"))
+    two = _t(spark, d, "page_summaries").agg(F.count_if(F.expr("embedded")).alias("chunks"), F.count_distinct("doc_id").alias("documents"))
+    e = _t(spark, d, "events")
+    last = e.groupBy("user_id").agg(F.max("ts").alias("last"))
+    active = last.crossJoin(F.broadcast(e.agg(F.max("ts").alias("now")))).agg(F.count_if(F.col("last") > F.col("now") - F.expr("interval 1 day")).alias("active"))
+    return one.unionByName(two).agg(F.sum("chunks").alias("chunks"), F.sum("documents").alias("documents")).crossJoin(active)
+
+
+def model_list(spark: SparkSession, d: str) -> DataFrame:
+    """Names without one and what is derived from it, the default first, the rest in order; the brands of parts stand for models."""
+    from pyspark.sql import Window
+
+    m = _t(spark, d, "part").select(F.col("p_brand").alias("name")).distinct().where("name <> 'Brand#11' and not startswith(name, 'Brand#11:')")
+    return m.select("name", F.row_number().over(Window.orderBy(F.desc(F.col("name") == "Brand#32"), "name")).alias("pos"))
 
 
 def latest_by_name(spark: SparkSession, d: str) -> DataFrame:
@@ -165,10 +251,27 @@ def crawl_bfs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_dedup_batch(spark: SparkSession, d: str) -> DataFrame:
-    """Contents that a stream of documents lets through, each once."""
+    """Contents that a stream of documents lets through, each once; rows without a hash equal nothing and all pass."""
     return ingest.to_table(ingest.new_content(ingest.read_files(spark, f"{d}/documents.parquet").select("hash"))).select("hash")
 
 
+def stream_dedup_within(spark: SparkSession, d: str) -> DataFrame:
+    """The same with state of bounded time."""
+    s = ingest.read_files(spark, f"{d}/documents.parquet").select("hash", "ingested_at")
+    return ingest.to_table(ingest.new_content_within(s, "ingested_at", "20000 days").select("hash"))
+
+
+def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of a day that begin every six hours."""
+    out = ingest.to_table(ingest.windowed(ingest.read_files(spark, f"{d}/events.parquet").select("ts", "event_type", "value"), "24 hours", "1 day", "6 hours"))
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+def stream_visits(spark: SparkSession, d: str) -> DataFrame:
+    out = ingest.to_table(ingest.visits(ingest.read_files(spark, f"{d}/events.parquet").select("ts", "user_id")))
+    return out.select("user_id", F.unix_micros("start").alias("start_us"), "n")
+
+
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """Hourly windows of events from a stream; the last day is still open to late rows."""
     out = ingest.to_table(ingest.windowed(ingest.read_files(spark, f"{d}/events.parquet").select("ts", "event_type", "value")))
@@ -178,11 +281,27 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = [
     sha_dedup, point_ids, latest_by_name, latest_by_source, upsert_last_wins, status_patch, embedded_flags, cascade_delete, delete_by_filename, swap_after, ingest_verdict, summary_page_join, page_count, chunks_ordered, distinct_files,
     source_distribution, sources_by_file, dashboard_counts, job_summary, recent_activity, cache_stats, quality_label, header_detect, rotation_flag, session_upsert, session_recent, session_prune, crawl_bfs, stream_dedup_batch, stream_windows,
+    stream_dedup_within, stream_sliding, stream_visits, chunk_records, insert_documents, status_indexed, clear_all, activity_append, message_append, reindex_all, listings, exists_probe, session_prune_count, role_check, totals, model_list,
 ]
 
 SQL = {
     "sha_dedup": "SELECT sha256(text) AS sha, min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY ALL",
-    "point_ids": "SELECT id, md5(concat_ws(':', doc_id, page_num::VARCHAR)) AS point_id FROM pages WHERE doc_id IS NOT NULL",
+    "point_ids": "SELECT id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM (SELECT id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(coalesce(doc_id, 'None') || ':' || coalesce(page_num::VARCHAR, 'None'))) AS h FROM pages)",
+    "chunk_records": "SELECT id, doc_id, coalesce(page, 0) AS page, coalesce(block_type, 'text') AS block_type, coalesce(chunk_index, 0) AS chunk_index, md5(coalesce(text, '')) AS text, coalesce(strftime(created_at, '%Y-%m-%d %H:%M:%S'), '') AS created_at FROM document_chunks",
+    "insert_documents": "SELECT status, count(*) AS n, count(*) FILTER (WHERE filename = 'unknown') AS unknown, count(DISTINCT hash) AS hashes FROM (SELECT filename, hash, status FROM doc_versions UNION ALL SELECT coalesce(filename, 'unknown'), hash, 'processing' FROM documents) GROUP BY status",
+    "status_indexed": f"SELECT id, CASE WHEN status IN ('indexed', 'failed') THEN status WHEN md5(id)[1] < '8' THEN 'indexed' ELSE 'failed' END AS status, CASE WHEN (status IS NULL OR status NOT IN ('indexed', 'failed')) AND md5(id)[1] < '8' THEN '{AS_OF}' END AS indexed_at FROM doc_versions",
+    "clear_all": "SELECT count(*) AS removed, 0::BIGINT AS left FROM document_chunks",
+    "activity_append": "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'skipped' WHEN event_id % 7 = 0 THEN 'failed' ELSE 'success' END AS outcome FROM events ORDER BY ts DESC, event_id DESC LIMIT 50",
+    "message_append": "SELECT (SELECT max(id) FROM session_messages) + row_number() OVER (ORDER BY term_id) AS id, term AS content FROM glossary",
+    "reindex_all": r"""WITH r AS (SELECT id, coalesce(trim(summary_text) NOT IN ('', '[Empty page]', '[Summarization failed]'), false) AS e, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(coalesce(doc_id, 'None') || ':' || coalesce(page_num::VARCHAR, 'None'))) AS h, len(regexp_extract_all(lower(summary_text), '[a-z0-9]+')) AS w FROM page_summaries)
+        SELECT id, CASE WHEN e THEN substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12) END AS point_id, e AS embedded, CASE WHEN e THEN CASE WHEN w > 0 THEN 1.0 ELSE 0.0 END END::DOUBLE AS norm FROM r""",
+    "listings": "SELECT id, row_number() OVER (ORDER BY ingested_at NULLS FIRST, id) AS oldest, row_number() OVER (ORDER BY ingested_at DESC NULLS LAST, id) AS newest FROM doc_versions WHERE status = 'indexed'",
+    "exists_probe": "SELECT id FROM doc_versions v WHERE EXISTS (SELECT 1 FROM document_chunks c WHERE c.doc_id = v.id)",
+    "session_prune_count": f"SELECT count(*) AS removed FROM sessions WHERE coalesce(last_active_at, created_at) < TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY",
+    "role_check": "SELECT session_id, array_to_string(list_sort(list(DISTINCT lower(role))), ',') AS unknown FROM session_messages WHERE session_id IS NOT NULL AND lower(role) NOT IN ('user', 'assistant', 'system', 'human', 'bot', 'ai') GROUP BY session_id",
+    "totals": """WITH t AS (SELECT count(*) AS c, count(DISTINCT doc_id) AS n FROM document_chunks UNION ALL SELECT count(*) FILTER (WHERE embedded), count(DISTINCT doc_id) FROM page_summaries), l AS (SELECT user_id, max(ts) AS last FROM events GROUP BY ALL)
+        SELECT sum(c)::BIGINT AS chunks, sum(n)::BIGINT AS documents, (SELECT count(*) FROM l WHERE last > (SELECT max(ts) FROM events) - INTERVAL 1 DAY) AS active FROM t""",
+    "model_list": "SELECT name, row_number() OVER (ORDER BY name <> 'Brand#32', name) AS pos FROM (SELECT DISTINCT p_brand AS name FROM part WHERE p_brand <> 'Brand#11' AND NOT starts_with(p_brand, 'Brand#11:'))",
     "latest_by_name": "SELECT filename, id FROM (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY ingested_at DESC NULLS LAST, id DESC) AS rn FROM doc_versions WHERE status = 'indexed' AND filename IS NOT NULL) WHERE rn = 1",
     "latest_by_source": "SELECT source_id, id FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY ingested_at DESC NULLS LAST, id DESC) AS rn FROM doc_versions WHERE source_id IS NOT NULL) WHERE rn = 1",
     "upsert_last_wins": "SELECT doc_id, page_num, max(id) AS id FROM pages WHERE doc_id IS NOT NULL AND page_num IS NOT NULL GROUP BY ALL",
@@ -212,6 +331,12 @@ SQL = {
     "session_recent": "WITH l AS (SELECT session_id, id, row_number() OVER (PARTITION BY session_id ORDER BY id DESC) AS rn FROM session_messages WHERE session_id IS NOT NULL) SELECT session_id, id, row_number() OVER (PARTITION BY session_id ORDER BY id) AS pos FROM l WHERE rn <= 6",
     "session_prune": f"SELECT session_id, count(*) AS messages FROM session_messages WHERE session_id IS NULL OR session_id NOT IN (SELECT session_id FROM sessions WHERE coalesce(last_active_at, created_at) < TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY) GROUP BY ALL",
     "crawl_bfs": "WITH RECURSIVE w AS (SELECT 2::BIGINT AS node, 0 AS level UNION ALL SELECT d.doc_id, w.level + 1 FROM w JOIN documents d ON d.doc_id // 4 = w.node) SELECT node, level::BIGINT AS level FROM w",
-    "stream_dedup_batch": "SELECT DISTINCT hash FROM documents WHERE hash IS NOT NULL",
+    "stream_dedup_batch": "SELECT DISTINCT hash FROM documents WHERE hash IS NOT NULL UNION ALL SELECT NULL FROM documents WHERE hash IS NULL",
+    "stream_dedup_within": "SELECT DISTINCT hash FROM documents WHERE hash IS NOT NULL UNION ALL SELECT NULL FROM documents WHERE hash IS NULL",
+    "stream_sliding": """WITH m AS (SELECT max(ts) - INTERVAL 1 DAY AS wm FROM events), s AS (SELECT to_timestamp(0)::TIMESTAMP + to_hours(6) * ((epoch(ts)::BIGINT // 21600) - i) AS start, event_type, value FROM (SELECT ts, event_type, value, unnest(range(4)) AS i FROM events))
+        SELECT strftime(start, '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM s, m WHERE s.start + INTERVAL 24 HOUR <= wm GROUP BY s.start, event_type""",
+    "stream_visits": """WITH m AS (SELECT max(ts) - INTERVAL 1 DAY AS wm FROM events), g AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE, true) AS new FROM events),
+        v AS (SELECT user_id, ts, sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+        SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM v GROUP BY user_id, k HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT wm FROM m)""",
     "stream_windows": "WITH m AS (SELECT max(ts) - INTERVAL 1 DAY AS wm FROM events) SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, m WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= wm GROUP BY ALL",
 }

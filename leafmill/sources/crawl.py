@@ -2,27 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.session import shared_folder
 
-def below(edges: DataFrame, roots: DataFrame, most_levels: int = 100) -> DataFrame:
-    """(node, level): the roots (node) and all that is reached from them over edges (parent, child), each at its least level.
-
-    One join a level, written out in between; a cycle ends where nothing new is found."""
-    from pyspark.sql import SparkSession
 
-    spark: SparkSession = edges.sparkSession
-    seen = roots.select("node").distinct().withColumn("level", F.lit(0))
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
+def below(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, level): the roots (node) and all that is reached from them over edges (parent, child), each at its least level.
 
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="leafmill-"))
-    for level in range(1, most_levels + 1):
-        front = seen.where(F.col("level") == level - 1)
-        new = front.join(edges, front["node"] == edges["parent"]).select(F.col("child").alias("node")).distinct().join(seen, "node", "left_anti")
-        new = new.withColumn("level", F.lit(level)).checkpoint()
+    One join a level, each level a table of its own in the shared folder; ends where nothing new is found, so that cycles end too."""
+    spark, folder = edges.sparkSession, f"{shared_folder(edges.sparkSession)}/leafmill/crawl-{uuid.uuid4().hex}"
+    new, level = roots.select("node").distinct().withColumn("level", F.lit(0)), 0
+    seen = new.limit(0)
+    while True:
+        new.write.parquet(f"{folder}/{level}")
+        new = spark.read.schema(seen.schema).parquet(f"{folder}/{level}")
         if new.isEmpty():
-            break
-        seen = seen.unionByName(new).checkpoint()
-    return seen
+            return seen
+        seen, level = seen.unionByName(new), level + 1
+        new = new.join(edges, new["node"] == edges["parent"]).select(F.col("child").alias("node")).where("node is not null").distinct().join(seen, "node", "left_anti").withColumn("level", F.lit(level))

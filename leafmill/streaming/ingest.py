@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.session import shared_folder
+
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="leafmill-")
-    return f"{base}/leafmill/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/leafmill/stream-{uuid.uuid4().hex}"
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -33,11 +33,25 @@ def to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def new_content(stream: DataFrame, key: str = "hash") -> DataFrame:
-    """One row for each content key ever seen (keyed state); null keys pass."""
-    return stream.where(F.col(key).isNotNull()).dropDuplicates([key])
+    """One row for each content key ever seen (keyed state); rows with a null key equal nothing and pass."""
+    return stream.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(stream.where(F.col(key).isNull()))
+
+
+def new_content_within(stream: DataFrame, at: str, late: str, key: str = "hash") -> DataFrame:
+    """new_content() with state that is given up once the watermark is `late` past a key's event time: repeats that come within it are
+    dropped, so that the state stays as large as that time's keys; older repeats are left to the stored history."""
+    timed = stream.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", late)
+    once = timed.where(F.col(key).isNotNull()).dropDuplicatesWithinWatermark([key]).drop("_at")
+    return once.unionByName(stream.where(F.col(key).isNull()))
+
+
+def windowed(events: DataFrame, width: str = "1 hour", late: str = "1 day", slide: str | None = None) -> DataFrame:
+    """Counts and sums per window and type, emitted once the watermark has passed; windows tumble, or slide."""
+    e = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return e.groupBy(F.window("ts", width, slide or width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
-def windowed(events: DataFrame, width: str = "1 hour", late: str = "1 day") -> DataFrame:
-    """Counts and sums per tumbling window and type, emitted once the watermark has passed."""
+def visits(events: DataFrame, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
+    """Each user's stretches of events without a pause of `gap`, emitted once the watermark has passed their end."""
     e = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    return e.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
+    return e.groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), "n")
