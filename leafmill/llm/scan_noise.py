@@ -1,9 +1,11 @@
 """Noise in text from scanned pages: cut and misread words, running lines, printed page numbers.
 
-Misread words are decoded with a noisy channel: a word's likelihood in the corpus (counts of words and word pairs over all pages and
-summaries) times the probability that its characters were read as the ones seen. Candidates come from an equi-join: characters that
-are mistaken for each other share a class, and words with equal classes are candidates of each other. Each line is decoded by Viterbi
-over its words' candidates. What runs along a file (title and notice lines, page numbers) is found by aggregates over the file."""
+Misread words are decoded with a noisy channel: the probability that a word's characters were read as the ones seen, estimated from the
+corpus, times the likelihood of the word and its neighbours there (counts of words and word pairs over all pages and summaries).
+Candidates come from an equi-join: characters that are mistaken for each other share a class, and words with equal classes are candidates
+of each other, however many. Each line is decoded by Viterbi over its words' candidates. What runs along a file (title and notice lines,
+page numbers) is found by aggregates over the file; a running line has 3 to 90 characters, a printed number's line up to 100, a line with
+a leader up to 160."""
 
 from __future__ import annotations
 
@@ -17,22 +19,24 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import written
+from leafmill.llm.common import row_bytes, sized, written
 
 #: Characters that are mistaken for each other, a class a line, and pairs read for one character (fixed values).
 CLASSES = ["ec(éè", "il1|!íìï", "o0óò", "t†f", "vy", "bh68", "g9", "a@àá", "s5$", "uúùü", "z2"]
 PAIRS = {"rn": "m", "ri": "n", "cl": "d", "ii": "u", "vv": "w", "i)": "d", "nn": "m", "rí": "n", "r1": "n", "c1": "d", "c|": "d", "r|": "n", "íí": "u", "l)": "d"}
-#: How much likelier a word must be than what was read, and its least count.
+#: How much more frequent a word must be than what was read of it with a usual confusion, and its least count.
 ODDS, LEAST_COUNT = 10, 3
-#: Most words for which counts and corrections are sent to all workers; beyond it they are joined to the pages instead.
-MOST_BROADCAST = 400_000
+#: Longest run of characters that can be a word; least probability of a candidate.
+WORD_CHARS, LEAST_P = 64, 0.002
+#: Most bytes of word statistics that are sent to all workers; beyond it they are joined to the pages, with the same result.
+MOST_SENT = 24 << 20
 
 _class = str.maketrans({c: x[0] for x in CLASSES for c in x})
 # all patterns stay linear in long runs of characters without spaces
 _token = re.compile(r"[A-Za-z0-9À-ɏ†|@()$!]+")
 _hyphen = re.compile(r"[-¬‐­] ?\n[ \t]*")
-_left = re.compile(r"[^\s\-¬‐­]{1,40}\Z")
-_right = re.compile(r"[^\s\-¬‐­]{1,40}")
+_left = re.compile(r"[^\s\-¬‐­]{1,65}\Z")
+_right = re.compile(r"[^\s\-¬‐­]{1,65}")
 _edge = ".,;:!?\"'“”‘’«»[]{}"
 _number = re.compile(r"[\dOoIlSB|]+(?:[.,/:][\dOoIlSB|]+)*")
 _code = re.compile(r"[A-Z]{2,3}-(?=[\dOoIlSB|]*[OoIlSB|])[\dOoIlSB|]{4,6}")
@@ -48,22 +52,34 @@ def skeleton(word: str) -> str:
     return word.lower().translate(_class)
 
 
-def skeletons(word: str, most: int = 24) -> set[str]:
+def skeletons(word: str) -> set[str]:
     """The classes of a word as read, with none, one or two of its character pairs taken for single characters."""
-    w, found = word.lower(), {word.lower()}
+    found = level = {word.lower()}
     for _ in range(2):
-        for x in list(found):
-            for pair, one in PAIRS.items():
-                at = x.find(pair)
-                while at >= 0 and len(found) < most:
-                    found.add(x[:at] + one + x[at + len(pair) :])
-                    at = x.find(pair, at + 1)
-    return {x.translate(_class) for x in found} | {w.translate(_class)}
+        level = {x[:i] + PAIRS[x[i : i + 2]] + x[i + 2 :] for x in level for i in range(len(x) - 1) if x[i : i + 2] in PAIRS}
+        found = found | level
+    return {x.translate(_class) for x in found}
+
+
+def edits(read: str, true: str) -> list[tuple[str, str]] | None:
+    """[(character, what was read for it)] that make `read` of `true`, as few as can be; None if the channel has no way."""
+    paths: dict[int, list[tuple[str, str]]] = {0: []}  # place in what was read -> edits so far
+    for c in true:
+        now: dict[int, list[tuple[str, str]]] = {}
+        for i, done in paths.items():
+            one, two = read[i : i + 1], read[i : i + 2]
+            ways = [(i + 1, done if one == c else [*done, (c, one)])] if one and (one == c or one.translate(_class) == c.translate(_class)) else []
+            ways += [(i + 2, [*done, (c, two)])] if two in PAIRS and PAIRS[two].translate(_class) == c.translate(_class) else []
+            for j, path in ways:
+                if j not in now or len(path) < len(now[j]):
+                    now[j] = path
+        paths = now
+    return paths.get(len(read))
 
 
 def _trim(t: str) -> tuple[int, int] | None:
     """(start, end) of the word in a run of word characters; outer brackets stay only where they make a word of it."""
-    if len(t) > 40:
+    if len(t) > WORD_CHARS:
         return None
     a, b = 0, len(t)
     while b and t[b - 1] in "!$)":
@@ -72,7 +88,7 @@ def _trim(t: str) -> tuple[int, int] | None:
         b -= 1
     if b - a > 1 and t[0] == "(":
         a = 1
-    return (a, b) if a < b and b - a <= 32 and any(c.isalpha() for c in t[a:b]) else None
+    return (a, b) if a < b and any(c.isalpha() for c in t[a:b]) else None
 
 
 class _Words(dict):
@@ -100,7 +116,7 @@ def raw_tokens(line: str) -> list[tuple[int, int, str]]:
 def breaks(text: str) -> Iterator[tuple[int, int, int, str, str]]:
     """(start, hyphen, end, left, right) of the words that a hyphen at a line's end cuts in two."""
     for m in _hyphen.finditer(text):
-        left, right = _left.search(text[max(0, m.start() - 40) : m.start()]), _right.match(text, m.end())
+        left, right = _left.search(text[max(0, m.start() - WORD_CHARS - 1) : m.start()]), _right.match(text, m.end())
         if left and right:
             yield m.start() - len(left.group()), m.start(), right.end(), left.group(), right.group()
 
@@ -219,11 +235,17 @@ def _shaped(df: DataFrame, id_: str, doc: str | None, page: str | None, text: st
     return df.select(F.col(id_).cast("bigint").alias("id"), (F.col(doc) if doc else none("string")).alias("doc_id"), (F.col(page).cast("int") if page else none("int")).alias("page_num"), F.col(text).alias("text"))
 
 
+CANDIDATES = "key string, best string, same double, options array<struct<word: string, logp: double, m: bigint>>"
+
+
 def corrections(words: DataFrame) -> DataFrame:
-    """(key, best) of the words that were misread beyond doubt; words: (key, n).
+    """(key, best, same, options) of the words that may have been misread; words: (key, n).
 
-    The channel: a word is taken for another one if it is of the same classes and at least ODDS times as frequent, or as frequent where
-    what was read mixes letters and signs."""
+    The channel: what was read comes from any word of the same classes that is not itself a reading of a more frequent one, by the
+    confusion probabilities of its characters. Those are estimated from the corpus itself: from the words ODDS times as frequent as a
+    reading of them, how often each character was read as each other one, against how often it stands there; and how often a misread
+    word has one more misread character, as errors come together. `same` is the log probability that the reading is right, an option's that
+    it comes from that word, both before looking at the neighbours; best is the likeliest word where the reading itself is unlikely."""
 
     def alternatives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,34 +260,92 @@ def corrections(words: DataFrame) -> DataFrame:
             skels = [skeleton(k) for k in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(skels, pa.string())], ["word", "m", "skel"])
 
+    def changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for key, n, word in zip(*(x.to_pylist() for x in batch.columns)):
+                way = edits(key, word) or []
+                rows += [(c, r, n) for c, r in way] + [("", "", n * (len(way) - 1))] * (len(way) > 1)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.string()), pa.array([x[2] for x in rows], pa.int64())], ["c", "r", "n"])
+
     plain = F.col("key").rlike(r"^\p{L}+$")
-    # of each class only the likeliest word can be the best candidate
     lexicon = words.where(plain & (F.length("key") >= 3) & (F.col("n") >= LEAST_COUNT)).select("key", "n").mapInArrow(classes, "word string, m bigint, skel string")
-    lexicon = lexicon.groupBy("skel").agg(F.max_by("word", F.struct("m", "word")).alias("word"), F.max("m").alias("m"))
-    seen = words.where(F.length("key") >= 3).select("key", "n").mapInArrow(alternatives, "key string, n bigint, skel string")
-    odds = F.when(F.col("key").rlike(r"^\p{L}+$"), F.when(F.length("key") >= 4, ODDS).otherwise(40)).otherwise(1)
-    better = seen.join(lexicon, "skel").where((F.col("word") != F.col("key")) & (F.col("m") >= odds * F.greatest("n", F.lit(1))))
-    return better.groupBy("key").agg(F.max_by("word", F.struct("m", "word")).alias("best"))
+    seen = words.where(F.length("key") >= 3).select("key", F.greatest("n", F.lit(1)).alias("n")).mapInArrow(alternatives, "key string, n bigint, skel string")
+    met = written(seen.join(lexicon, "skel").where(F.col("word") != F.col("key")).select("key", "n", "word", "m").distinct(), "met")
+    sure = met.where(F.col("m") >= ODDS * F.col("n")).groupBy("key", "n").agg(F.max_by("word", F.struct("m", "word")).alias("word"))
+    sure = written(sure, "sure")
+    misread = sized(sure.select(F.col("key").alias("word")))
+    # both tables have a row for a pair of characters that the channel knows, or for a letter
+    read = {(x["c"], x["r"]): x["n"] for x in sure.mapInArrow(changes, "c string, r string, n bigint").groupBy("c", "r").agg(F.sum("n").alias("n")).collect()}
+    more, total = read.pop(("", ""), 0), sum(read.values())
+    letters = words.where(plain).select(F.explode(F.split("key", "")).alias("c"), "n").groupBy("c").agg(F.sum("n").alias("n"))
+    stands = {x["c"]: x["n"] for x in letters.where(F.col("c").isin(sorted({c for c, _ in read}))).collect()}
+    rate = {k: (n + 0.5) / (stands.get(k[0], 0) + 1000) for k, n in read.items()}
+    usual = math.exp(sum(n * math.log(rate[k]) for k, n in read.items()) / max(total, 1)) if read else 1e-3
+    channel = Channel({k: math.log(v / usual) for k, v in rate.items()}, usual, (more + 1) / (total + 10))
+    met = met.join(misread, "word", "left_anti").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("m", "word")), False).alias("words"))  # a class holds few words
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [channel.weigh(k, n, [(w["word"], w["m"]) for w in ws]) for k, n, ws in zip(*(c.to_pylist() for c in batch.columns))]
+            options = pa.array([[{"word": w, "logp": p, "m": m} for w, p, m in o[2]] for o in out], pa.list_(pa.struct([("word", pa.string()), ("logp", pa.float64()), ("m", pa.int64())])))
+            rows = pa.RecordBatch.from_arrays([batch.column(0), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64()), options], ["key", "best", "same", "options"])
+            yield rows.filter(pa.array([bool(o[2]) for o in out], pa.bool_()))
+
+    return met.mapInArrow(weighed, CANDIDATES)
+
+
+class Channel:
+    """How likely characters are to be misread. ratio: log of a confusion's probability against a usual one's; unseen ones are rarer by
+    UNSEEN. usual: that one's probability. more: the probability of one more misread character in a word that has one."""
+
+    UNSEEN = -3.4
+
+    def __init__(self, ratio: dict[tuple[str, str], float], usual: float, more: float):
+        self.ratio, self.usual, self.more = ratio, usual, more
+
+    def weigh(self, key: str, n: int, words: list[tuple[str, int]]) -> tuple[str | None, float, list[tuple[str, float, int]]]:
+        """(best, same, options) of a reading seen n times that may come from words (word, count)."""
+        found = []
+        for word, m in words:
+            way = edits(key, word)
+            if way:
+                found.append((m * self.usual * math.exp(sum(self.ratio.get(e, self.UNSEEN) for e in way) + (len(way) - 1) * math.log(self.more)), word, m))
+        total = sum(w for w, *_ in found)
+        if not total:
+            return None, 0.0, []
+        # how much more of the word there is than of the reading, by a usual confusion; what mixes letters and signs is hardly a word
+        lead = math.log(total / self.usual / n) - math.log(ODDS if len(key) >= 4 else 4 * ODDS) * key.isalpha()
+        misread = 1 / (1 + math.exp(-max(min(lead, 50), -50)))
+        by_chance = min(total / n, 0.5)
+        share = [(word, (misread + (1 - misread) * by_chance) * w / total, m) for w, word, m in found]
+        options = sorted(((word, math.log(p), m) for word, p, m in share if p >= LEAST_P), key=lambda x: (-x[1], x[0]))
+        return (options[0][0] if options and misread > 0.5 else None), math.log((1 - misread) * (1 - by_chance) + 1e-9), options
+
+
+#: word -> (count, best, log probability that it is right, other words it may be with theirs)
+Known = dict[str, tuple[int, str | None, float, list[tuple[str, float]]]]
+_UNKNOWN: tuple[int, None, float, list] = (0, None, 0.0, [])
 
 
 class _Doubt(dict):
-    """run of word characters -> whether a line that holds it has to be decoded; all other lines are left as they are."""
+    """run of word characters -> 1 if a line that holds it has to be decoded, 2 if only where its neighbours do not know it, else 0."""
 
-    def __init__(self, known: dict[str, tuple[int, str | None]]):
+    def __init__(self, known: Known):
         super().__init__()
         self.known, self.torn = known, set()
-        for w, (n, best) in known.items():
+        for w, (n, best, *_) in known.items():
             if best is None and n >= LEAST_COUNT and len(w) >= 5 and w.isalpha():
                 for i in range(1, len(w)):
                     for part in (w[:i], w[i:]):
-                        if ODDS * max(known.get(part, (0, None))[0], 1) <= n:
+                        if ODDS * max(known.get(part, _UNKNOWN)[0], 1) <= n:
                             self.torn.add(part)
 
-    def __missing__(self, t: str) -> bool:
+    def __missing__(self, t: str) -> int:
         at = _trim(t)
         w = t[at[0] : at[1]].lower() if at else None
-        n, best = self.known.get(w, (0, None)) if w else (0, None)
-        found = w is not None and (best is not None or n < LEAST_COUNT or w in self.torn)
+        n, best, _, options = self.known.get(w, _UNKNOWN) if w else _UNKNOWN
+        found = 0 if w is None else 1 if best is not None or n < LEAST_COUNT or w in self.torn else 2 if options else 0
         if len(self) > 300_000:
             self.clear()
         self[t] = found
@@ -273,23 +353,28 @@ class _Doubt(dict):
 
 
 class Reader:
-    """Decodes lines: counts and corrections of words, counts of word pairs."""
+    """Decodes lines: counts of words and what they may be, counts of word pairs, words in all."""
 
-    def __init__(self, known: dict[str, tuple[int, str | None]], pairs: dict[str, int]):
-        self.known, self.pairs = known, pairs
+    def __init__(self, known: Known, pairs: dict[str, int], total: int):
+        self.known, self.pairs, self.total = known, pairs, max(total, 1)
         self.doubt = _Doubt(known)
 
     def doubtful(self, text: str) -> bool:
-        return any(map(self.doubt.__getitem__, _token.findall(text))) or _mixed.search(text) is not None
+        runs = _token.findall(text)
+        marks = [self.doubt[t] for t in runs]
+        if 1 in marks or _mixed.search(text) is not None:
+            return True
+        words = [t.lower() for t in runs] if 2 in marks else []
+        return any(m == 2 and not any(self.pairs.get(f"{x} {y}", 0) > 1 for x, y in zip(words[max(i - 1, 0) : i + 1], words[max(i, 1) : i + 2])) for i, m in enumerate(marks))
 
     def count(self, w: str) -> int:
-        return self.known.get(w, (0, None))[0]
+        return self.known.get(w, _UNKNOWN)[0]
 
     def best(self, w: str) -> str | None:
-        return self.known.get(w, (0, None))[1]
+        return self.known.get(w, _UNKNOWN)[1]
 
     def is_word(self, w: str) -> bool:
-        n, best = self.known.get(w, (0, None))
+        n, best, *_ = self.known.get(w, _UNKNOWN)
         return best is not None or n >= LEAST_COUNT
 
     def cut(self, left: str, right: str) -> bool:
@@ -302,18 +387,17 @@ class Reader:
         return not (self.is_word(a) and self.is_word(b))
 
     def pair(self, p: str, o: str, as_read: bool) -> float:
-        """The weight of a word pair, its count smoothed by one; where both are as read, the pair at hand is no evidence for itself."""
-        return math.log1p(max(self.pairs.get(f"{p} {o}", 0) - as_read, 0))
+        """How much more often a word pair stands in the corpus than by chance, both smoothed by one, 0 if it does not; where both are as
+        read, the pair at hand is no evidence for itself."""
+        n = self.pairs.get(f"{p} {o}", 0) - as_read
+        return max(math.log1p(n) - math.log1p(self.count(p) * self.count(o) / self.total), 0.0) if n > 0 else 0.0
 
     def viterbi(self, words: list[str]) -> list[str]:
         """The likeliest words for those read in a line."""
         paths: dict[str, tuple[float, list[str]]] = {}
         for last, w in zip(["", *words], words):
-            best = self.best(w)
-            options = {w: math.log(self.count(w) + 0.1) + (math.log(0.98) if best is None else 0)}
-            if best is not None:
-                changes = max(1, sum(x != y for x, y in zip(w, best)) + abs(len(w) - len(best)))
-                options[best] = math.log(self.count(best) + 0.1) - (math.log(ODDS) * min(changes, 1) if w.isalpha() else 0)
+            _, _, same, others = self.known.get(w, _UNKNOWN)
+            options = {w: same, **dict(others)}
             now = {}
             for o, score in options.items():
                 before = max(((s + (self.pair(p, o, p == last and o == w) if len(options) > 1 or len(paths) > 1 else 0), path) for p, (s, path) in paths.items()), key=lambda x: x[0], default=(0.0, []))
@@ -414,8 +498,9 @@ class Corpus:
         self.words = written(facts.where("kind = 'w'").groupBy("key").agg(F.sum("n").alias("n")), "words")
         best = written(corrections(self.words), "corrections")
         lexicon = self.words.join(best, "key", "left").where(f"best is not null or n >= {LEAST_COUNT}")
-        self.lexicon = written(lexicon, "lexicon")
-        unsure = best.select(F.col("key").alias("word")).union(best.select(F.col("best").alias("word"))).distinct()
+        self.lexicon = written(lexicon.withColumn("same", F.coalesce("same", F.lit(0.0))), "lexicon")
+        self.total = facts.where("kind = 'w'").agg(F.sum("n")).first()[0] or 0
+        unsure = best.select(F.col("key").alias("word")).union(best.select(F.explode("options.word").alias("word"))).distinct()
         # a doubtful word is decided by what stands on either side of it
         pairs = facts.where("kind = 'b'").groupBy("key").agg(F.sum("n").alias("n"))
         pairs = pairs.select("key", "n", F.explode(F.array_distinct(F.split("key", " "))).alias("word"))
@@ -437,15 +522,16 @@ class Corpus:
 
     def reader(self) -> Broadcast | None:
         """The word statistics for all workers, if they are few enough to send."""
-        if self.lexicon.count() + self.pairs.count() > MOST_BROADCAST:
+        size = sum(t.agg(F.sum(row_bytes(t.schema))).first()[0] or 0 for t in (self.lexicon, self.pairs))
+        if size > MOST_SENT:
             return None
-        known = {r["key"]: (r["n"], r["best"]) for r in self.lexicon.toLocalIterator()}
+        known = {r["key"]: _entry(r) for r in self.lexicon.toLocalIterator()}
         pairs = {r["key"]: r["n"] for r in self.pairs.toLocalIterator()}
-        return self.spark.sparkContext.broadcast((known, pairs))
+        return self.spark.sparkContext.broadcast((known, pairs, self.total))
 
     def repaired(self, rows: DataFrame) -> DataFrame:
         """(id, text, cut, misread) of (id, text) rows."""
-        sent = self.reader()
+        sent, total = self.reader(), self.total
         schema = "id bigint, text string, cut boolean, misread boolean"
         if sent is not None:
 
@@ -455,25 +541,35 @@ class Corpus:
                     yield _repaired(batch.column(0), batch.column(1).to_pylist(), [reader] * batch.num_rows)
 
             return rows.select("id", "text").mapInArrow(run, schema)
-        # each row's own part of the statistics is joined to it: its words with their corrections, then the pairs of what they may be
-        counts = self.words.select(F.col("key").alias("best"), F.col("n").alias("m"))
-        lexicon = self.lexicon.join(counts, "best", "left").select("key", "n", "best", "m")
-        known = rows.select("id", "text").mapInArrow(_wanted_words, "id bigint, key string").join(lexicon, "key").groupBy("id").agg(F.collect_list(F.struct("key", "n", "best", "m")).alias("known"))
+        # each row's own part of the statistics is joined to it: its words with what they may be, then the pairs of these
+        entry = F.struct("key", "n", "best", "same", "options")
+        known = self._looked_up(rows.select("id", "text").mapInArrow(_wanted_words, "id bigint, key string"), self.lexicon).groupBy("id").agg(F.collect_list(entry).alias("known"))
         texts = written(rows.select("id", "text").join(known, "id", "left"), "known")
-        pairs = texts.where("known is not null").select("id", "text", "known").mapInArrow(_wanted_pairs, "id bigint, key string").join(self.pairs, "key").groupBy("id").agg(F.collect_list(F.struct("key", "n")).alias("pairs"))
+        pairs = self._looked_up(texts.where("known is not null").select("id", "text", "known").mapInArrow(_wanted_pairs, "id bigint, key string"), self.pairs).groupBy("id").agg(F.collect_list(F.struct("key", "n")).alias("pairs"))
 
         def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 both = [{x["key"]: x["n"] for x in p or []} for p in batch.column(3).to_pylist()]
-                yield _repaired(batch.column(0), batch.column(1).to_pylist(), [Reader(_own(k), p) for k, p in zip(batch.column(2).to_pylist(), both)])
+                yield _repaired(batch.column(0), batch.column(1).to_pylist(), [Reader(_own(k), p, total) for k, p in zip(batch.column(2).to_pylist(), both)])
 
         return texts.join(pairs, "id", "left").select("id", "text", "known", "pairs").mapInArrow(run_joined, schema)
 
+    def _looked_up(self, wanted: DataFrame, table: DataFrame) -> DataFrame:
+        """wanted (id, key) with the table's columns. Keys that make up a 10 000th of all words are at most 10 000, and are sent to the
+        rows; so none of those that are shuffled is frequent."""
+        head = F.broadcast(table.where(F.col("n") * 10_000 >= self.total))
+        tail = table.where(F.col("n") * 10_000 < self.total)
+        return wanted.join(head, "key").unionByName(wanted.join(head.select("key"), "key", "left_anti").join(tail, "key"))
+
 
-def _own(known: list[dict] | None) -> dict[str, tuple[int, str | None]]:
-    """The statistics of one row's words and of what they are corrected to."""
-    out = {x["best"]: (x["m"] or 0, None) for x in known or [] if x["best"] is not None}
-    return out | {x["key"]: (x["n"], x["best"]) for x in known or []}
+def _entry(x: dict) -> tuple:
+    return x["n"], x["best"], x["same"], [(o["word"], o["logp"]) for o in x["options"] or []]
+
+
+def _own(known: list[dict] | None) -> Known:
+    """The statistics of one row's words and of what they may be."""
+    out: Known = {o["word"]: (o["m"], None, 0.0, []) for x in known or [] for o in x["options"] or []}
+    return out | {x["key"]: _entry(x) for x in known or []}
 
 
 def _repaired(ids: pa.Array, texts: list, readers: list[Reader]) -> pa.RecordBatch:
@@ -481,8 +577,21 @@ def _repaired(ids: pa.Array, texts: list, readers: list[Reader]) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([ids, pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.bool_()), pa.array([o[2] for o in out], pa.bool_())], ["id", "text", "cut", "misread"])
 
 
+def _neighbours(text: str) -> Iterator[tuple[list[str], list[str]]]:
+    """(words, what its last word is if it goes on in the next line) of each line, whichever cut words are joined."""
+    cut = {hyphen: (left, right) for _, hyphen, _, left, right in breaks(text)}
+    at = 0
+    for line in text.split("\n"):
+        words, whole = [t.lower() for _, _, t in raw_tokens(line)], []
+        end = next((at + i for i in range(max(len(line) - 2, 0), len(line)) if at + i in cut), None)
+        if end is not None:
+            whole = [t.lower() for _, _, t in raw_tokens("".join(cut[end]))][-1:]
+        yield words, whole
+        at += len(line) + 1
+
+
 def _wanted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct words that repairing a row may look up: its words, parts of cut words, neighbours taken together."""
+    """The distinct words that repairing a row may look up: its words, cut words joined, neighbours taken together."""
     for batch in batches:
         ids, keys = [], []
         for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -491,11 +600,10 @@ def _wanted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 a, b = raw_tokens(left)[-1:], raw_tokens(right)[:1]
                 for w in (a[0][2] + b[0][2], a[0][2], b[0][2]) if a and b else ():
                     need[w.lower()] = None
-            for line in (text or "").split("\n"):
-                found = [t.lower() for _, _, t in raw_tokens(line)]
-                for w in found:
+            for words, whole in _neighbours(text or ""):
+                for w in words + whole:
                     need[w] = need["(" + w] = None
-                for x, y in zip(found, found[1:]):
+                for x, y in [*zip(words, words[1:]), *((x, w) for x in words[-2:-1] for w in whole)]:
                     need[x + y] = None
             ids += [id_] * len(need)
             keys += need
@@ -503,20 +611,17 @@ def _wanted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _wanted_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct word pairs of a row, each word as read and as corrected."""
+    """The distinct word pairs of a row, each word as read and as what it may be."""
     for batch in batches:
         ids, keys = [], []
         for id_, text, known in zip(*(c.to_pylist() for c in batch.columns)):
             own, need = _own(known), {}
-            options = lambda w: [x for x in (w, own.get(w, (0, None))[1], own.get("(" + w, (0, None))[1]) if x]  # noqa: E731, B023
-            joined = unbroken(text or "", lambda a, h, b: a + b)
-            for version in (text or "", joined):
-                for line in version.split("\n"):
-                    found = [t.lower() for _, _, t in raw_tokens(line)]
-                    for x, y in zip(found, found[1:]):
-                        for p in options(x):
-                            for q in options(y):
-                                need[f"{p} {q}"] = None
+            options = lambda w: [w, "(" + w, *(o for x in (w, "(" + w) for o, _ in own.get(x, _UNKNOWN)[3])]  # noqa: E731, B023
+            for words, whole in _neighbours(text or ""):
+                for x, y in [*zip(words, words[1:]), *((x, w) for x in words[-2:-1] for w in whole)]:
+                    for p in options(x):
+                        for q in options(y):
+                            need[f"{p} {q}"] = None
             ids += [id_] * len(need)
             keys += need
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string())], ["id", "key"])

@@ -40,7 +40,7 @@ def test_kinds(spark, monkeypatch):
     got = {tuple(r) for r in S.noise(*t).collect()}
     assert {x for x in got if x[1] < 100} == WANT
     # beyond the size for sending them, the statistics are joined to the rows, with the same result
-    monkeypatch.setattr(S, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(S, "MOST_SENT", -1)
     assert {tuple(r) for r in S.noise(*t).collect()} == got
 
 
@@ -61,8 +61,8 @@ def test_no_rows(spark):
 def test_undoubted_lines_are_left_as_decoding_would(spark):
     rnd = random.Random(3)
     words = ["control", "tester", "total", "record", "in", "a", "modern"]
-    known = {w: (50, None) for w in words} | {"c0ntrol": (1, "control"), "tota1": (1, "total"), "rec": (0, None), "ord": (0, None)}
-    fast, slow = S.Reader(known, {}), S.Reader(known, {})
+    known = {w: (50, None, 0.0, []) for w in words} | {"c0ntrol": (1, "control", -5.0, [("control", -0.1)]), "tota1": (1, "total", -5.0, [("total", -0.1)]), "rec": (0, None, 0.0, []), "ord": (0, None, 0.0, [])}
+    fast, slow = S.Reader(known, {}, 1000), S.Reader(known, {}, 1000)
 
     class Always(dict):
         def __missing__(self, key):
@@ -74,6 +74,39 @@ def test_undoubted_lines_are_left_as_decoding_would(spark):
         assert S.repair(line, fast) == S.repair(line, slow)
 
 
+def test_edits():
+    assert S.edits("c0ntrol", "control") == [("o", "0")] and S.edits("rnodel", "model") == [("m", "rn")] and S.edits("same", "same") == []
+    assert S.edits("conrol", "control") is None and S.edits("corm", "com") is None
+    assert S.skeletons("rnrn") >= {S.skeleton("mm"), S.skeleton("mrn"), S.skeleton("rnrn")} and len(S.skeletons("rn" * 12)) > 24
+
+
+def test_channel_weighs_confusions_and_neighbours():
+    channel = S.Channel({("o", "0"): 0.0, ("l", "1"): 0.0, ("l", "i"): 0.0}, 0.001, 0.2)
+    best, same, options = channel.weigh("c0ntrol", 1, [("control", 500)])
+    assert best == "control" and same < -1 and options[0][:1] == ("control",) and options[0][2] == 500
+    # twice as frequent words, and readings far too frequent to be errors, stay; both words of a class stay candidates
+    assert channel.weigh("falls", 600, [("fails", 1200)])[0] is None
+    both = channel.weigh("wei1", 1, [("well", 2200), ("weil", 550)])
+    assert {w for w, *_ in both[2]} == {"well", "weil"}
+    known = {"wei1": (1, both[0], both[1], [(w, p) for w, p, _ in both[2]]), "well": (2200, None, 0.0, []), "weil": (550, None, 0.0, []), "sagt": (300, None, 0.0, []), "as": (900, None, 0.0, [])}
+    reader = S.Reader(known, {"sagt weil": 40, "as well": 80}, 100_000)
+    assert reader.viterbi(["sagt", "wei1"]) == ["sagt", "weil"] and reader.viterbi(["as", "wei1"]) == ["as", "well"]
+    real = {"falls": (600, None, -0.01, [("fails", -5.0)]), "fails": (1200, None, 0.0, []), "check": (500, None, 0.0, []), "it": (900, None, 0.0, [])}
+    reader = S.Reader(real, {"check fails": 300, "it falls": 200}, 1_000_000)
+    assert reader.line("it falls") == ("it falls", False) and reader.line("check falls") == ("check fails", True)
+
+
+def test_both_plans_read_cut_words_alike(spark, monkeypatch):
+    pages = [(1, "x", 1, "The desk in ter-\nnational affairs and con-\ntrol con-\ntrol te-\nster. The con trol c0n-\ntrol.", 0)]
+    extra = [(2000 + i, "y", i, "The international desk in national affairs.", 0) for i in range(12)]
+    t = tables(spark, pages + extra)
+    found = []
+    for most in (1 << 40, -1):
+        monkeypatch.setattr(S, "MOST_SENT", most)
+        found.append(sorted(map(tuple, S.clean_pages(*t).collect())))
+    assert found[0] == found[1]
+
+
 def test_pairs_on_both_sides_decide(spark):
     rare = [(i, f"r{i}", 1, f"Fester wounds heal slowly {x}.", 0) for i, x in ((1, "north"), (2, "south"), (3, "inland"))]
     p, r, s, g = tables(spark, [*rare, (4, "r4", 1, "The fester control tester reviews.", 0)])
@@ -81,5 +114,5 @@ def test_pairs_on_both_sides_decide(spark):
     assert {x["key"]: x["best"] for x in c.lexicon.collect()}["fester"] == "tester"
     pairs = {x["key"]: x["n"] for x in c.pairs.collect()}
     assert pairs["fester wounds"] == 3 and pairs["fester control"] == pairs["the fester"] == 1
-    reader = S.Reader({x["key"]: (x["n"], x["best"]) for x in c.lexicon.collect()}, pairs)
+    reader = S.Reader({x["key"]: S._entry(x) for x in c.lexicon.collect()}, pairs, c.total)
     assert reader.viterbi(["fester", "wounds"]) == ["fester", "wounds"] and reader.viterbi(["fester", "control"]) == ["tester", "control"]
