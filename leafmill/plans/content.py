@@ -223,3 +223,43 @@ SQL = {
         h AS (SELECT l.*, g.term IS NOT NULL AS h FROM l LEFT JOIN (SELECT DISTINCT term FROM glossary) g ON g.term = l.line)
         SELECT id, pos, (count(*) FILTER (WHERE h) OVER w)::BIGINT AS section, last_value(CASE WHEN h THEN line END IGNORE NULLS) OVER w AS heading FROM h WINDOW w AS (PARTITION BY id ORDER BY pos)""",
 }
+
+#: White space as the texts' ends are trimmed of it.
+_WS = r"[\s\p{Z}\x0B\x1C-\x1F\x{85}]"
+_strip = lambda c: f"regexp_replace({c}, '^{_WS}+|{_WS}+$', '', 'g')"
+_greedy = """f AS (SELECT {k}, 0 AS i, {first}::BIGINT AS used, 0 AS grp, 0 AS held FROM d GROUP BY ALL
+    UNION ALL SELECT f.{k}, f.i + 1, CASE WHEN held > 0 AND used + n > {most} THEN {first} + n ELSE used + n END, grp + CASE WHEN held > 0 AND used + n > {most} THEN 1 ELSE 0 END, CASE WHEN held > 0 AND used + n > {most} THEN 1 ELSE held + 1 END FROM f JOIN l ON l.{k} = f.{k} AND l.i = f.i + 1)"""
+#: Greedy packing as a recursion over lines; the queries' rules use prefix sums.
+SQL |= {
+    "sentence_chunks": rf"""WITH RECURSIVE d AS (SELECT doc_id, text, {_TABLE.replace('raw_text', 'text')} AS tab, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS w,
+          list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.?!])\s+', '\1' || chr(57344), 'g'), chr(57344) || '|\n\n+'), lambda s: trim(s, ' ')), lambda s: s <> '') AS s FROM documents WHERE regexp_matches(text, '[^\s]')),
+        n AS (SELECT doc_id, unnest(range(1, len(s) + 1)) AS i, len(list_filter(regexp_split_to_array(unnest(s), '\s+'), lambda w: w <> '')) AS n FROM d WHERE NOT tab),
+        f AS (SELECT doc_id, 0 AS i, 0::BIGINT AS start, 0::BIGINT AS pos, NULL::BIGINT AS a, NULL::BIGINT AS b FROM d WHERE NOT tab
+          UNION ALL SELECT f.doc_id, f.i + 1, CASE WHEN pos > start AND pos - start + n > 120 THEN greatest(start, pos - 20) ELSE start END, pos + n, CASE WHEN pos > start AND pos - start + n > 120 THEN start END, CASE WHEN pos > start AND pos - start + n > 120 THEN pos END FROM f JOIN n ON n.doc_id = f.doc_id AND n.i = f.i + 1),
+        c AS (SELECT doc_id, i, a, b FROM f WHERE a IS NOT NULL UNION ALL SELECT doc_id, i + 1, start, pos FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) = 1) WHERE pos > start)
+        SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_no, md5(array_to_string(w[a + 1 : b], ' ')) AS chunk_md5 FROM c JOIN d USING (doc_id) UNION ALL SELECT doc_id, 0, md5(trim(text, ' ')) FROM d WHERE tab""",
+    "line_pages": f"""WITH RECURSIVE d AS (SELECT doc_id, text FROM documents WHERE {_strip('text')} <> ''), l AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i, unnest(string_split(text, chr(10))) AS line, length(unnest(string_split(text, chr(10)))) + 1 AS n FROM d),
+        {_greedy.format(k='doc_id', first=0, most=5000)}, g AS (SELECT f.doc_id, grp, string_agg(line, chr(10) ORDER BY f.i) AS chunk, max(grp) OVER (PARTITION BY f.doc_id) AS last FROM f JOIN l ON l.doc_id = f.doc_id AND l.i = f.i GROUP BY f.doc_id, grp)
+        SELECT doc_id, grp::BIGINT AS chunk_no, chunk FROM g WHERE grp < last OR {_strip('chunk')} <> ''""",
+    "table_row_chunks": rf"""WITH RECURSIVE t AS (SELECT id, {_strip('raw_text')} AS t FROM pages WHERE has_tables AND {_strip('raw_text')} <> ''), x AS (SELECT id, string_split(t, chr(10)) AS x FROM t WHERE length(t) > 900),
+        h AS (SELECT id, x, CASE WHEN regexp_matches(coalesce(x[2], ''), '^\s*\|?\s*:?-{{2,}}') THEN 2 ELSE 1 END AS h FROM x),
+        d AS (SELECT id, x[h + 1 :] AS rows, array_to_string(x[: h], chr(10)) AS head, len(array_to_string(x[: h], chr(10))) + 1 AS first FROM h),
+        l AS (SELECT id, unnest(range(1, len(rows) + 1)) AS i, unnest(rows) AS line, length(unnest(rows)) + 1 AS n FROM d), {_greedy.format(k='id', first='d.first', most=900).replace('d.first::BIGINT', 'first::BIGINT', 1).replace('FROM f JOIN l ON', 'FROM f JOIN d ON d.id = f.id JOIN l ON')}
+        SELECT id, 0::BIGINT AS chunk_no, t AS chunk FROM t WHERE length(t) <= 900 UNION ALL SELECT id, 0, head FROM d WHERE len(rows) = 0
+        UNION ALL SELECT f.id, grp, any_value(d.head) || chr(10) || string_agg(line, chr(10) ORDER BY f.i) FROM f JOIN l ON l.id = f.id AND l.i = f.i JOIN d ON d.id = f.id GROUP BY f.id, grp""",
+    "window_chunks": rf"""WITH RECURSIVE d AS (SELECT doc_id, {_strip('text')} AS t FROM documents WHERE {_strip('text')} <> ''),
+        w AS (SELECT doc_id, t, 0 AS i, 0::BIGINT AS start, 0::BIGINT AS stop FROM d
+          UNION ALL SELECT doc_id, t, i + 1, CASE WHEN i = 0 THEN 0 ELSE nxt END, CASE WHEN lim >= length(t) THEN length(t)
+            WHEN regexp_matches(seg, '
+
+') THEN base + length(regexp_extract(seg, '(?s)^(.*)
+
+', 1)) + 2 WHEN regexp_matches(seg, '\.
+') THEN base + length(regexp_extract(seg, '(?s)^(.*)\.
+', 1)) + 2 WHEN contains(seg, '. ') THEN base + length(regexp_extract(seg, '(?s)^(.*)\. ', 1)) + 2
+            WHEN contains(seg, '? ') THEN base + length(regexp_extract(seg, '(?s)^(.*)\? ', 1)) + 2 WHEN contains(seg, '! ') THEN base + length(regexp_extract(seg, '(?s)^(.*)! ', 1)) + 2 WHEN contains(seg, chr(10)) THEN base + length(regexp_extract(seg, '(?s)^(.*)
+', 1)) + 1 ELSE lim END
+          FROM (SELECT *, least(nxt + 900, length(t)) AS lim, nxt + 180 AS base, substr(t, nxt + 181, least(nxt + 900, length(t)) - nxt - 180) AS seg FROM (SELECT *, CASE WHEN i = 0 THEN 0 WHEN stop - 180 > start THEN stop - 180 ELSE start + 450 END AS nxt FROM w)) WHERE nxt < length(t)),
+        c AS (SELECT doc_id, i, {_strip('substr(t, start + 1, stop - start)')} AS chunk FROM w WHERE i > 0)
+        SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_no, chunk FROM c WHERE chunk <> ''""",
+}
