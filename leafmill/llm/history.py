@@ -31,7 +31,7 @@ SHINGLE, LEAST_WORDS, OVERLAP = 3, 50, 0.6
 #: Fingerprints of texts that overlap by 0.6 agree in 77 of 128 lanes on average, with a deviation of 5.5.
 LEAST_LANES = 48
 #: Members of a block that all others are compared with in the first round; four times as many in each further one.
-HUBS = 16
+HUBS = 64
 #: Kinds of keys: file hash, hash of all words, block of lanes.
 HASH, WORDS, BLOCK = 0, 1, 2
 #: Folders that stored fingerprints and texts are spread over; a lookup reads only those of the documents it found. More for larger stores.
@@ -228,10 +228,10 @@ class History:
         self.tables: list[str] = []
         self.stored = self._bucketed(f"{self.path}/keys", "part int")
 
-    def _bucketed(self, path: str, more: str) -> str:
+    def _bucketed(self, path: str, more: str, compression: str = "zstd") -> str:
         """The name of a table of keys in buckets, in the session's catalogue only: the files stay when the name goes."""
         name = "leafmill_" + hashlib.md5(path.encode()).hexdigest()
-        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (key bigint, exact string, node bigint, {more}) USING parquet OPTIONS (compression 'zstd') CLUSTERED BY (key) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (key bigint, exact string, node bigint, {more}) USING parquet OPTIONS (compression '{compression}') CLUSTERED BY (key) INTO {self.buckets} BUCKETS LOCATION '{path}'")
         self.tables.append(name)
         return name
 
@@ -253,7 +253,7 @@ class History:
 
     def staged(self, keys: DataFrame) -> DataFrame:
         """The keys of a batch (key, exact, node) as a table in the store's buckets: shuffled once, for all that is asked of it."""
-        name = self._bucketed(new_path(self.spark, "keys"), "kind tinyint")
+        name = self._bucketed(new_path(self.spark, "keys"), "kind tinyint", "snappy")
         keys.select("key", "exact", "node", "kind").repartition(self.buckets, "key").write.insertInto(name)
         return self.spark.table(name)
 

@@ -112,7 +112,7 @@ def test_rejected_document_of_a_large_block_meets_all_it_repeats(spark, monkeypa
         rows += [(100 * g + j, 1 + j % 2, None, " ".join(p + [f"y{g}.{j}.{i}" for i in range(18)]), "f") for j, p in enumerate(parts)]
         rows += [(100 * g + 50, 3, None, " ".join(base), "f"), (100 * g + 51, 3, None, " ".join([*base[:-1], "last"]), "f")]
     want = brute(rows)
-    for hubs in (1, 16):
+    for hubs in (1, 64):
         monkeypatch.setattr(history, "HUBS", hubs)
         one_batch = [(i, 1, h, t, f) for i, _, h, t, f in rows]
         assert {tuple(r) for r in history.repeats(frame(spark, rows)).collect()} == want
