@@ -57,7 +57,7 @@ def quota(hits: DataFrame, k: int, hard: float = 0.25, soft: float = 0.15, doc:
     h = h.withColumn("_ed", F.row_number().over(Window.partitionBy("query_id", doc, "_e").orderBy("rrf_rank")))
     h = h.withColumn("_e", F.col("_e") & (F.col("_ed") <= F.greatest(F.lit(2), F.col("_share")) - F.col("_td")))
     h = h.withColumn("_eg", F.row_number().over(Window.partitionBy("query_id", "_e").orderBy("rrf_rank")))
-    h = h.where("_g").withColumn("_pass", F.lit(1)).unionByName(h.where(F.col("_e") & (F.col("_eg") <= F.lit(k) - F.col("_t"))).withColumn("_pass", F.lit(2)))
+    h = h.withColumn("_pass", F.when(F.col("_g"), 1).when(F.col("_e") & (F.col("_eg") <= F.lit(k) - F.col("_t")), 2)).where("_pass is not null")
     pos = F.row_number().over(by.orderBy(F.desc("score"), "_pass", "rrf_rank"))
     return h.withColumn("pos", pos).select(*hits.columns, "pos")
 
