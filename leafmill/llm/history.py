@@ -14,7 +14,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +23,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import filesystem, new_path, sized, written
+from leafmill.llm import common
+from leafmill.llm.common import filesystem, new_path, row_bytes, sized, written
 
 LANES, TABLES = 128, 32
 WIDTH = LANES // TABLES
@@ -176,13 +177,20 @@ def _open_blocks(members: DataFrame) -> DataFrame:
     return members.join(sized(written(many.select("key", "_n"), "open")), "key")
 
 
+def gathered(*tables: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """What puts a table into one partition if all of these together take at most a broadcast's bytes, so that joins and aggregates over
+    it are single stages; beyond that it leaves it as it is. Only the plan depends on it."""
+    size = sum(t.agg(F.sum(row_bytes(t.schema))).first()[0] or 0 for t in tables)
+    return (lambda df: df.coalesce(1)) if size <= common.MOST_BYTES else (lambda df: df)
+
+
 def resolve(docs: DataFrame, edges: DataFrame, blocked: DataFrame | None) -> DataFrame:
-    """docs with their state: A accepted, R rejected, U open. docs: (doc_id, ord, hkey, node, state, twin).
+    """docs with their state: A accepted, R rejected, U open, and whether they are busy. docs: (doc_id, ord, hkey, node, state, twin).
 
     A document is rejected once an accepted one shares its hash or node or has a similar node, and accepted once no earlier document
     does that is not rejected; nodes in `blocked` have comparisons open and cannot be accepted yet. Each round decides all documents
     whose earlier neighbours are decided; groups are only ever aggregated to their earliest members. Documents that are no twin (no
-    other one has their hash or words) and in no edge are decided at once and take no part in the rounds."""
+    other one has their hash or words) and in no edge are not busy: they are decided at once and take no part in the rounds."""
     both = edges.union(edges.select("b", "a")).toDF("node", "other")
     linked = sized(written(both.select("node").distinct(), "linked")).withColumn("_g", F.lit(True))
     marks = docs.join(linked, "node", "left")
@@ -193,22 +201,22 @@ def resolve(docs: DataFrame, edges: DataFrame, blocked: DataFrame | None) -> Dat
     columns = ["doc_id", "ord", "hkey", "node", "state", "held"]
     marks = written(marks.select(*columns, (F.col("twin") | F.col("_g").isNotNull()).alias("busy")), "marks")
     alone = marks.where("not busy").withColumn("state", F.when(F.col("held") | (F.col("state") != "U"), F.col("state")).otherwise("A"))
-    docs, first = marks.where("busy").select(*columns), lambda state: F.min(F.when(F.col("state") == state, F.col("ord"))) if state else F.min("ord")
-    was = None
+    busy, first = marks.where("busy").select(*columns), lambda state: F.min(F.when(F.col("state") == state, F.col("ord"))) if state else F.min("ord")
+    one = gathered(busy, edges)
+    docs, both, was = one(busy), one(both), None
     while True:
         live = docs.where("state <> 'R'")
-        by_hash = live.where("hkey is not null").groupBy("hkey").agg(first("").alias("h1"), first("A").alias("ha"))
-        by_node = live.groupBy("node").agg(first("").alias("n1"), first("A").alias("na"))
-        near = both.join(by_node.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("n1").alias("x1"), F.min("na").alias("xa"))
+        by_hash = live.where("hkey is not null").groupBy("hkey").agg(first("").alias("h1"), first("A").alias("ha")).hint("merge")
+        by_node = live.groupBy("node").agg(first("").alias("n1"), first("A").alias("na")).hint("merge")
+        near = both.join(by_node.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("n1").alias("x1"), F.min("na").alias("xa")).hint("merge")
         j = docs.where("state = 'U'").join(by_hash, "hkey", "left").join(by_node, "node", "left").join(near, "node", "left")
         j = j.withColumn("_a", F.least("ha", "na", "xa")).withColumn("_1", F.least("h1", "n1", "x1"))
         state = F.when(F.col("_a").isNotNull(), "R").when(F.col("held").isNull() & (F.col("_1") >= F.col("ord")), "A").otherwise("U")
         new = written(docs.where("state <> 'U'").union(j.withColumn("state", state).select(*columns)), "states")
         left = new.where("state = 'U'").count()
-        docs = new
         if not left or left == was:
-            return docs.union(alone.select(*columns)).drop("held")
-        was = left
+            return new.withColumn("busy", F.lit(True)).union(alone.select(*columns, F.lit(False))).drop("held")
+        docs, was = one(new), left
 
 
 class History:
@@ -368,13 +376,15 @@ def check_batch(documents: DataFrame, history: History) -> Checked:
             more = written(_close(_meetings(rest, most)[0].join(tested, ["a", "b"], "left_anti"), nodes), "close")
             edges, tested = edges.union(written(overlapping(more, texts), "edges")), tested.union(more)
     states = resolve(states, edges, None)
-    accepted, rejected = states.where("state = 'A'"), states.where("state = 'R'")
-    both = edges.union(edges.select("b", "a")).toDF("node", "other")
-    by_hash = rejected.join(accepted.where("hkey is not null").select("hkey", F.col("doc_id").alias("accepted_id"), F.col("ord").alias("_before")), "hkey").where("_before < ord").select("doc_id", "accepted_id")
+    one = gathered(states.where("busy"), edges)
+    busy, both = one(states.where("busy")), one(edges.union(edges.select("b", "a")).toDF("node", "other"))
+    accepted, rejected = busy.where("state = 'A'"), busy.where("state = 'R'")
+    same_hash = accepted.where("hkey is not null").select("hkey", F.col("doc_id").alias("accepted_id"), F.col("ord").alias("_before"))
+    by_hash = rejected.join(same_hash.hint("merge"), "hkey").where("_before < ord").select("doc_id", "accepted_id")
     holders = accepted.select(F.col("node").alias("other"), F.col("doc_id").alias("accepted_id"), F.col("ord").alias("_before"))
-    links = both.union(docs.where("node = doc_id").select("node", F.col("node").alias("other")))
-    by_text = rejected.join(links, "node").join(holders, "other").where("_before < ord").select("doc_id", "accepted_id")
-    old_text = docs.select("doc_id", "node").join(old_edges.select(F.col("a").alias("node"), F.col("b").alias("accepted_id")), "node").select("doc_id", "accepted_id")
+    links = one(both.union(busy.select("node", F.col("node").alias("other")).distinct()))
+    by_text = rejected.join(links.hint("merge"), "node").join(holders.hint("merge"), "other").where("_before < ord").select("doc_id", "accepted_id")
+    old_text = docs.select("doc_id", "node").join(sized(old_edges.select(F.col("a").alias("node"), F.col("b").alias("accepted_id"))), "node").select("doc_id", "accepted_id")
     pairs = by_hash.union(by_text).union(old_hash).union(old_text).distinct()
     return Checked(pairs, states.select("doc_id", "node", "state"), prints, keys)
 
