@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as T
 from leafmill.operators import context, fusion, lexical, routing
 from leafmill.operators.vector import cosine, hash_embed, vector_topk
+from leafmill.session import shared_folder
 
 TOP_K, HARD, SOFT = 8, 0.25, 0.15
 
@@ -73,6 +74,12 @@ def bm25_summary_prefix(spark: SparkSession, d: str) -> DataFrame:
     return lexical.bm25(lexical.postings(p, "id", "raw_text", prefix="s").persist(), q, 5).withColumnRenamed("key", "id")
 
 
+def bm25_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The same search over a stored index."""
+    posts = lexical.stored(_docs(spark, d), "doc_id", "text", f"{shared_folder(spark)}/leafmill/postings")
+    return lexical.bm25(posts, _questions(spark, d), 10).withColumnRenamed("key", "doc_id")
+
+
 def bm25_post_filter(spark: SparkSession, d: str) -> DataFrame:
     """A filter by source is applied behind the cut to the best, so that fewer may remain."""
     q = _questions(spark, d).join(_docs(spark, d).select(F.col("doc_id").alias("query_id"), F.col("source").alias("wanted")), "query_id")
@@ -238,7 +245,7 @@ def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = [
-    bm25_topk, bm25_unicode_topk, bm25_corpus_stats, bm25_union_corpus, bm25_summary_prefix, bm25_post_filter, vector_threshold, vector_filtered, rrf_lists, hybrid_search, quota_diversity, mmr_select, recency_bias, table_boost,
+    bm25_topk, bm25_unicode_topk, bm25_corpus_stats, bm25_union_corpus, bm25_summary_prefix, bm25_stored, bm25_post_filter, vector_threshold, vector_filtered, rrf_lists, hybrid_search, quota_diversity, mmr_select, recency_bias, table_boost,
     roundrobin_interleave, dedup_prefix, multi_topic_merge, neighbour_expand, context_tokens, context_sources, budget_drop_buffers, budget_truncate, prompt_pages, alias_words, detect_source, same_doc_guard, cosine_pairs,
 ]
 
@@ -310,6 +317,7 @@ al AS (SELECT DISTINCT filename, alias FROM (
 
 SQL = {
     "bm25_topk": f"WITH {_DOCS}, {_Q}, {_bm25('[a-z0-9]+', 10)} SELECT * FROM bm",
+    "bm25_stored": f"WITH {_DOCS}, {_Q}, {_bm25('[a-z0-9]+', 10)} SELECT * FROM bm",
     "bm25_unicode_topk": f"WITH {_DOCS}, {_Q}, {_bm25(r'[\p{L}\p{N}_]+', 10)} SELECT * FROM bm",
     "bm25_corpus_stats": f"WITH {_DOCS}, {_Q}, {_bm25('[a-z0-9]+', 10)} SELECT n, round(avgdl, 6) AS avgdl, round(mean_idf, 6) AS mean_idf FROM st, mean",
     "bm25_union_corpus": "WITH " + _DOCS.replace("docs AS", "dd AS") + ", " + _Q.replace("docs d", "dd d") + f""", docs AS (SELECT 'p' || id AS doc_id, raw_text AS text FROM pages WHERE length(raw_text) > 0 UNION ALL SELECT 'c' || id, text FROM document_chunks WHERE length(text) > 0),
