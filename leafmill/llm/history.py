@@ -63,7 +63,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def shingles(text: str | None, seen: _WordHash, size: int = SHINGLE, least: int = LEAST_WORDS) -> tuple[np.ndarray | None, str]:
-    """(sorted distinct hashes of the word sequences, 128-bit hash of all words); (None, "") if there are fewer words than `least`."""
+    """(hashes of the word sequences in order, 128-bit hash of all words); (None, "") if there are fewer words than `least`."""
     words = _words(text.lower()) if text else []
     if len(words) < max(least, size):
         return None, ""
@@ -72,7 +72,7 @@ def shingles(text: str | None, seen: _WordHash, size: int = SHINGLE, least: int
     s = np.zeros(n, np.uint64)
     for i in range(size):
         s = _mixed(s + w[i : i + n] * _M[i])
-    return np.unique(s), xxhash.xxh3_128_hexdigest(w.tobytes())
+    return s, xxhash.xxh3_128_hexdigest(w.tobytes())
 
 
 def min_hashes(s: np.ndarray) -> np.ndarray:
@@ -136,7 +136,7 @@ def overlapping(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         seen = _WordHash()
         for batch in batches:
             found = [shingles(t, seen)[0] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if s is None else s.tobytes() for s in found], pa.binary())], ["node", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if s is None else np.unique(s).tobytes() for s in found], pa.binary())], ["node", "s"])
 
     sets = written(texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(hashed, "node bigint, s binary"), "sets")
 
@@ -236,10 +236,11 @@ class History:
         self.tables: list[str] = []
         self.stored = self._bucketed(f"{self.path}/keys", "part int")
 
-    def _bucketed(self, path: str, more: str, compression: str = "zstd") -> str:
-        """The name of a table of keys in buckets, in the session's catalogue only: the files stay when the name goes."""
+    def _bucketed(self, path: str, more: str) -> str:
+        """The name of a table of keys in buckets, in the session's catalogue only: the files stay when the name goes. Keys are hashes,
+        which no codec makes smaller."""
         name = "leafmill_" + hashlib.md5(path.encode()).hexdigest()
-        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (key bigint, exact string, node bigint, {more}) USING parquet OPTIONS (compression '{compression}') CLUSTERED BY (key) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (key bigint, exact string, node bigint, {more}) USING parquet OPTIONS (compression 'snappy') CLUSTERED BY (key) INTO {self.buckets} BUCKETS LOCATION '{path}'")
         self.tables.append(name)
         return name
 
@@ -261,7 +262,7 @@ class History:
 
     def staged(self, keys: DataFrame) -> DataFrame:
         """The keys of a batch (key, exact, node) as a table in the store's buckets: shuffled once, for all that is asked of it."""
-        name = self._bucketed(new_path(self.spark, "keys"), "kind tinyint", "snappy")
+        name = self._bucketed(new_path(self.spark, "keys"), "kind tinyint")
         keys.select("key", "exact", "node", "kind").repartition(self.buckets, "key").write.insertInto(name)
         return self.spark.table(name)
 
