@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,14 +105,25 @@ def pack(sizes: DataFrame, capacity: int, id_col: str = "doc_id", size_col: str
     items = written(pieces_of(sizes, id_col, size_col, capacity), "items")
     counts = {r["length"]: r["n"] for r in items.groupBy("length").agg(F.count("*").alias("n")).collect()}
     patterns = pack_histogram(counts, capacity)
-    places = spark.createDataFrame(slots(patterns), "length bigint, lo bigint, hi bigint, base bigint")
-    ranked = prefix_sums(items, ["length"], [id_col, "piece_no"], F.lit(1), "_rank")
     # a length's places are as many as the patterns that hold it: bounded by the histogram, whatever the number of items
-    return (
-        ranked.join(F.broadcast(places), "length")
-        .where((F.col("_rank") >= F.col("lo")) & (F.col("_rank") < F.col("hi")))
-        .select(id_col, "piece_no", "start", "length", (F.col("base") + F.col("_rank") - F.col("lo")).alias("container"))
-    )
+    found: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for length, lo, _, base in slots(patterns):
+        found[length].append((lo, base))
+    sent = spark.sparkContext.broadcast({k: np.array(v, np.int64) for k, v in found.items()})
+    ranked = prefix_sums(items, ["length"], [id_col, "piece_no"], F.lit(1), "_rank").select(id_col, "piece_no", "start", "length", "_rank")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths, ranks = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            container = np.empty(len(ranks), np.int64)
+            for length in np.unique(lengths):
+                own = lengths == length
+                at = sent.value[int(length)]
+                i = np.searchsorted(at[:, 0], ranks[own], "right") - 1
+                container[own] = at[i, 1] + ranks[own] - at[i, 0]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(container)], [id_col, "piece_no", "start", "length", "container"])
+
+    return ranked.mapInArrow(place, f"`{id_col}` {dict(ranked.dtypes)[id_col]}, piece_no bigint, start bigint, length bigint, container bigint")
 
 
 def pack_documents(documents: DataFrame, capacity: int, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
