@@ -6,23 +6,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import ALIAS_STOPWORDS
+from leafmill.operators import lexical
 
 
 def acronyms(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"\b[A-Z]{2,}\b"), 0), lambda x: F.lower(x))
 
 
-def aliases(files: DataFrame, text: str) -> DataFrame:
-    """(filename, alias) of files (filename, first text): acronyms, words of the name, words of five letters on of the text."""
+def alias_lists(files: DataFrame, text: str) -> DataFrame:
+    """(filename, aliases) of files (filename, first text): acronyms, words of the name, words of five letters on of the text."""
     stem = F.lower(F.regexp_replace("filename", r"\.[^.]*$", ""))
     body = F.coalesce(F.col(text), F.lit(""))
     plain = F.array_union(F.regexp_extract_all(stem, F.lit("[a-z]{4,}"), 0), F.regexp_extract_all(F.lower(body), F.lit(r"\b[a-z]{5,}\b"), 0))
     stop = F.array(*(F.lit(s) for s in ALIAS_STOPWORDS))
-    return files.select("filename", F.explode(F.array_union(acronyms(body), F.array_except(plain, stop))).alias("alias"))
+    return files.select("filename", F.array_union(acronyms(body), F.array_except(plain, stop)).alias("aliases"))
+
+
+def aliases(files: DataFrame, text: str) -> DataFrame:
+    """(filename, alias): a row for each of alias_lists()."""
+    return alias_lists(files, text).select("filename", F.explode("aliases").alias("alias"))
 
 
 def detect(questions: DataFrame, known: DataFrame, question: str = "query") -> DataFrame:
-    """(query_id, filename, shared): the file that shares most aliases with a question, two at least; the first by name on ties."""
+    """(query_id, filename, shared): the file that shares most aliases with a question, two at least; the first by name on ties.
+
+    known: alias_lists(). Files are scored where they lie; only the best of each task move on."""
     found = F.array_distinct(F.array_union(acronyms(F.col(question)), F.regexp_extract_all(F.lower(question), F.lit("[a-z]{4,}"), 0)))
-    hits = questions.select("query_id", F.explode(found).alias("alias")).join(known, "alias").groupBy("query_id", "filename").agg(F.count("*").alias("shared")).where("shared >= 2")
-    return hits.withColumn("_rn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("shared"), "filename"))).where("_rn = 1").drop("_rn")
+    posts = known.select(F.col("filename").alias("key"), F.posexplode("aliases").alias("_at", "term")).select("key", "term", F.lit(1).cast("bigint").alias("tf"), F.lit(1).cast("bigint").alias("dl"), (F.col("_at") == 0).alias("head"))
+    df = posts.groupBy("term").agg(F.count("*").alias("df"))
+    asked = questions.select("query_id", F.explode(found).alias("term")).distinct().join(df, "term").select("query_id", "term", "df", F.lit(1.0).alias("w")).persist()
+    top = lexical.best(posts, asked, 1, known.count(), lambda tf, dl: tf, 1.0)
+    return top.select("query_id", F.col("key").alias("filename"), F.col("score").cast("bigint").alias("shared"))

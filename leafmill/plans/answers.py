@@ -28,10 +28,10 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _named(spark: SparkSession, d: str) -> DataFrame:
-    """The questions with the file they name."""
+    """The questions with the file they name, kept, as they are read for each of the searches."""
     first = catalog.latest(_t(spark, d, "documents").where("filename <> ''"), ["filename"], [F.asc("doc_id")])
     q = _questions(spark, d)
-    return q.join(routing.detect(q, routing.aliases(first, "text")).select("query_id", F.col("filename").alias("file")), "query_id", "left")
+    return q.join(routing.detect(q, routing.alias_lists(first, "text")).select("query_id", F.col("filename").alias("file")), "query_id", "left").persist()
 
 
 def v1_hybrid(spark: SparkSession, d: str) -> DataFrame:

@@ -217,16 +217,19 @@ def prompt_pages(spark: SparkSession, d: str) -> DataFrame:
 
 def alias_words(spark: SparkSession, d: str) -> DataFrame:
     """What names a file: acronyms, words of its name, words of its first page's summary."""
+    return routing.aliases(_first_pages(spark, d), "summary_text")
+
+
+def _first_pages(spark: SparkSession, d: str) -> DataFrame:
     from leafmill.operators.catalog import latest
 
-    first = latest(_t(spark, d, "search_results").where("filename <> ''"), ["filename"], [F.asc("result_id")])
-    return routing.aliases(first, "summary_text")
+    return latest(_t(spark, d, "search_results").where("filename <> ''"), ["filename"], [F.asc("result_id")])
 
 
 def detect_source(spark: SparkSession, d: str) -> DataFrame:
     """The file that shares most words (two at least) with a question; the questions are summaries with an id divisible by 50."""
     q = _t(spark, d, "page_summaries").where("id % 50 = 0 and summary_text is not null").select(F.col("id").alias("query_id"), F.col("summary_text").alias("query"))
-    return routing.detect(q, alias_words(spark, d))
+    return routing.detect(q, routing.alias_lists(_first_pages(spark, d), "summary_text"))
 
 
 def same_doc_guard(spark: SparkSession, d: str) -> DataFrame:
