@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import ALIAS_STOPWORDS
@@ -30,10 +31,8 @@ def aliases(files: DataFrame, text: str) -> DataFrame:
 def detect(questions: DataFrame, known: DataFrame, question: str = "query") -> DataFrame:
     """(query_id, filename, shared): the file that shares most aliases with a question, two at least; the first by name on ties.
 
-    known: alias_lists(). Files are scored where they lie; only the best of each task move on."""
+    known: alias_lists(), read once. Files are scored where they lie; only the best of each task move on."""
     found = F.array_distinct(F.array_union(acronyms(F.col(question)), F.regexp_extract_all(F.lower(question), F.lit("[a-z]{4,}"), 0)))
-    posts = known.select(F.col("filename").alias("key"), F.posexplode("aliases").alias("_at", "term")).select("key", "term", F.lit(1).cast("bigint").alias("tf"), F.lit(1).cast("bigint").alias("dl"), (F.col("_at") == 0).alias("head"))
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    asked = questions.select("query_id", F.explode(found).alias("term")).distinct().join(df, "term").select("query_id", "term", "df", F.lit(1.0).alias("w")).persist()
-    top = lexical.best(posts, asked, 1, known.count(), lambda tf, dl: tf, 1.0)
+    asked = questions.select("query_id", F.explode(found).alias("term")).distinct().withColumn("w", F.lit(1.0)).persist()
+    top = lexical.best(known.select(F.col("filename").alias("key"), F.col("aliases").alias("words")), asked, 1, 0, lambda tf, dl: np.ones(len(tf)), 1.0)
     return top.select("query_id", F.col("key").alias("filename"), F.col("score").cast("bigint").alias("shared"))

@@ -10,6 +10,7 @@ from leafmill.operators import answering, catalog, fusion, prompts, routing
 from leafmill.plans import content as C
 from leafmill.plans import search as S
 from leafmill.plans.search import _posts, _questions, _stored, _t
+from leafmill.session import sized
 
 AS_OF = "2024-06-01"
 
@@ -29,7 +30,9 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
 
 def _named(spark: SparkSession, d: str) -> DataFrame:
     """The questions with the file they name, kept, as they are read for each of the searches."""
-    first = catalog.latest(_t(spark, d, "documents").where("filename <> ''"), ["filename"], [F.asc("doc_id")])
+    docs = _t(spark, d, "documents").where("filename <> ''")
+    ids = docs.groupBy("filename").agg(F.min("doc_id").alias("doc_id")).select("doc_id").persist()
+    first = docs.join(sized(ids), "doc_id", "left_semi")  # no text is shuffled to find a file's first
     q = _questions(spark, d)
     return q.join(routing.detect(q, routing.alias_lists(first, "text")).select("query_id", F.col("filename").alias("file")), "query_id", "left").persist()
 

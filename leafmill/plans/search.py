@@ -35,8 +35,8 @@ def _vectors(spark: SparkSession, d: str, parity: int | None = None) -> DataFram
 
 
 def _posts(spark: SparkSession, d: str, tokens=T.ascii_tokens) -> DataFrame:
-    """The corpus' postings: lengths, frequencies and scores all come from them."""
-    return lexical.postings(_docs(spark, d), "doc_id", "text", tokens)
+    """The corpus, split into words by each that counts or scores it."""
+    return lexical.split(_docs(spark, d), "doc_id", "text", tokens)
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -62,7 +62,7 @@ def _union(spark: SparkSession, d: str) -> DataFrame:
 
 def bm25_union_corpus(spark: SparkSession, d: str) -> DataFrame:
     """The best of pages and chunks together for each question."""
-    posts = lexical.postings(_union(spark, d), "k", "text")
+    posts = lexical.split(_union(spark, d), "k", "text")
     return lexical.bm25(posts, _questions(spark, d), 10)
 
 
@@ -71,12 +71,12 @@ def bm25_summary_prefix(spark: SparkSession, d: str) -> DataFrame:
     s = _t(spark, d, "page_summaries").where("doc_id is not null and page_num is not null and summary_text is not null").groupBy("doc_id", "page_num").agg(F.min_by("summary_text", "id").alias("s"))
     p = _t(spark, d, "pages").where("length(raw_text) > 0").join(s, ["doc_id", "page_num"], "left").withColumn("s", F.when(F.coalesce("has_tables", F.lit(False)), F.col("s")))
     q = _t(spark, d, "glossary").where("term is not null").select(F.col("term_id").cast("bigint").alias("query_id"), F.col("term").alias("query"))
-    return lexical.bm25(lexical.postings(p, "id", "raw_text", prefix="s"), q, 5).withColumnRenamed("key", "id")
+    return lexical.bm25(lexical.split(p, "id", "raw_text", prefix="s"), q, 5).withColumnRenamed("key", "id")
 
 
 def bm25_stored(spark: SparkSession, d: str) -> DataFrame:
     """The same search over a stored index."""
-    posts = lexical.stored(_docs(spark, d), "doc_id", "text", f"{shared_folder(spark)}/leafmill/postings")
+    posts = lexical.index(_docs(spark, d), "doc_id", "text", f"{shared_folder(spark)}/leafmill/postings")
     return lexical.bm25(posts, _questions(spark, d), 10).withColumnRenamed("key", "doc_id")
 
 
