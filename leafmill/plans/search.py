@@ -234,7 +234,7 @@ def detect_source(spark: SparkSession, d: str) -> DataFrame:
 
 def same_doc_guard(spark: SparkSession, d: str) -> DataFrame:
     """Whether all sub-questions have the same best keyword hit; sub-questions here are the questions of a group of three."""
-    top = bm25_topk(spark, d).where("rank = 1").join(_docs(spark, d).select("doc_id", "source"), "doc_id")
+    top = lexical.bm25(_posts(spark, d), _questions(spark, d), 1).withColumnRenamed("key", "doc_id").join(_docs(spark, d).select("doc_id", "source"), "doc_id")
     return top.groupBy(F.floor(F.col("query_id") / 150).cast("bigint").alias("grp")).agg(((F.count("*") > 1) & (F.count_distinct("source") == 1)).alias("collapse"))
 
 
