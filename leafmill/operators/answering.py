@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.operators import fusion
 from leafmill.operators.lexical import bm25
 from leafmill.operators.vector import cosine, vector_topk
+from leafmill.session import sized
 
 
 def hybrid(posts: DataFrame, items: DataFrame, questions: DataFrame, texts: DataFrame, k: int, threshold: float, as_of: Column) -> DataFrame:
@@ -26,7 +27,9 @@ def hybrid(posts: DataFrame, items: DataFrame, questions: DataFrame, texts: Data
     vectors = some.unionByName(own).where(F.round("score", 4) >= threshold).withColumn("is_vec", F.lit(True))
     words = bm25(posts, questions, n).join(files, "key").join(questions.select("query_id", "file"), "query_id").where("file is null or file = filename")
     words = words.select("query_id", "key", "score", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).alias("rank"), F.lit(False).alias("is_vec"))
-    hits = vectors.unionByName(words).join(texts, "key")
+    hits = vectors.unionByName(words).persist()
+    keys = hits.select("key").distinct().persist()
+    hits = hits.join(texts.join(sized(keys), "key", "left_semi"), "key")  # no text is shuffled but those found
     fused = fusion.rrf_by_text(hits, extra=["key", "filename", "at"])
     fused = fused.withColumn("score", fusion.recency(F.col("score"), F.col("at"), as_of))
     fused = fused.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "place")))
